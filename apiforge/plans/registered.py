@@ -1,3 +1,4 @@
 """Imports every query module so the registry is complete."""
 
 from . import q_samples  # noqa: F401
+from . import q_schema  # noqa: F401
