@@ -2,3 +2,4 @@
 
 from . import q_samples  # noqa: F401
 from . import q_schema  # noqa: F401
+from . import q_calls  # noqa: F401
