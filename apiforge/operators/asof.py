@@ -26,10 +26,25 @@ DEFAULT_BLOCK = 1 << 16
 
 
 def asof_last(probe: DataFrame, build: DataFrame, keys: list, values: list, *,
-              seq: str = "seq", block: int = DEFAULT_BLOCK) -> DataFrame:
+              seq: str = "seq", block: int = DEFAULT_BLOCK, max_seq: int | None = None) -> DataFrame:
     """``probe`` (keys, seq, ...) gets the columns ``values`` of ``build``
     (keys, seq, values...).  Each value column is looked up on its own, so a
-    build row may fill only some of them (nulls are skipped)."""
+    build row may fill only some of them (nulls are skipped).
+
+    ``max_seq``: a known bound of ``seq`` (e.g. the largest visit position of
+    any file, one cheap aggregate).  When everything fits in one block the
+    carry from earlier blocks is left out of the plan: one window remains,
+    whose groups are bounded by ``block`` anyway.
+    """
+    if max_seq is not None and max_seq < block:
+        u = (probe.select("*", F.lit(0).alias("_side"))
+             .unionByName(build.select(*keys, seq, *values, F.lit(1).alias("_side")),
+                          allowMissingColumns=True))
+        w = (Window.partitionBy(*keys).orderBy(F.col(seq), F.col("_side"))
+             .rowsBetween(Window.unboundedPreceding, -1))
+        return (u.select(*[c for c in probe.columns if c not in values], "_side",
+                         *[F.last(v, ignorenulls=True).over(w).alias(v) for v in values])
+                 .where(F.col("_side") == 0).drop("_side"))
     blk = F.floor(F.col(seq) / F.lit(block)).cast("long").alias("_blk")
     p = probe.select("*", blk, F.lit(0).alias("_side"))
     b = build.select(*keys, seq, *values, blk, F.lit(1).alias("_side"))

@@ -59,12 +59,19 @@ def lookup_space(facts: DataFrame, *, block: int = DEFAULT_BLOCK) -> DataFrame:
     return imp.unionByName(bnd)
 
 
-def resolve_aliases(probe: DataFrame, facts: DataFrame, *, block: int = DEFAULT_BLOCK) -> DataFrame:
+def max_position(facts: DataFrame) -> int:
+    """Largest visit position of any file (one aggregate over the facts)."""
+    r = facts.agg(F.max(F.greatest("seq", F.coalesce("seq_end", "seq")))).first()[0]
+    return int(r or 0)
+
+
+def resolve_aliases(probe: DataFrame, facts: DataFrame, *, block: int = DEFAULT_BLOCK,
+                    max_seq: int | None = None) -> DataFrame:
     """C2 (+ variable lookup): add ``m`` (module target, builtin types included),
     ``n`` (imported name target) and ``v`` (id of the visible binding) for the
     name in column ``lk`` as of ``seq``."""
     spark = probe.sparkSession
-    r = asof_last(probe, lookup_space(facts), KEYS, ["m", "n", "v"], block=block)
+    r = asof_last(probe, lookup_space(facts), KEYS, ["m", "n", "v"], block=block, max_seq=max_seq)
     r = _with_builtin(r, spark)
     return r.withColumn("m", F.coalesce(F.col("m"), F.col("_bt"))).drop("_bt")
 
@@ -99,8 +106,9 @@ def resolve_binding_texts(binds: DataFrame, *, max_rounds: int = 64) -> DataFram
     AQE's skew join.
     """
     state = binds
-    for _ in range(max_rounds):
-        state = cut_lineage(state)
+    for r in range(max_rounds):
+        if r:
+            state = cut_lineage(state)
         if state.where(F.col("ptr").isNotNull()).isEmpty():
             break
         a = state.select("task_id", F.col("id").alias("ptr"), F.col("acc").alias("_a_acc"),
@@ -125,7 +133,7 @@ def resolve_bindings(facts: DataFrame, *, block: int = DEFAULT_BLOCK) -> DataFra
     binds = facts.where(F.col("fact") == "bind").select(
         "task_id", "seq", "seq_end", "kind", "name", "target", "root", "rest", "args", "idx",
         F.col("root").alias("lk"))
-    looked = resolve_aliases(binds, facts, block=block)
+    looked = resolve_aliases(binds, facts, block=block, max_seq=max_position(facts)).persist()
     return resolve_binding_texts(_bind_start(looked))
 
 
@@ -151,23 +159,42 @@ def resolve_classes(facts: DataFrame, *, block: int = DEFAULT_BLOCK) -> DataFram
 
 # ------------------------------------------------------------------ references
 
+_PROBE_COLS = ["task_id", "seq", "seq_end", "ptype", "kind", "name", "target", "root", "rest", "args",
+               "pargs", "idx", "line", "col", "cls", "lk"]
+
+
+def _probes(facts: DataFrame) -> DataFrame:
+    """Everything that looks a name up, in one table: bindings (their callee
+    root), plain references (their root) and class bases (the base name)."""
+    f = facts.where(F.col("fact").isin("bind", "class") |
+                    ((F.col("fact") == "ref") & F.col("stored") & (F.col("kind") != "self")))
+    return f.select(*[c for c in _PROBE_COLS if c not in ("ptype", "lk")],
+                    F.col("fact").alias("ptype"), F.col("root").alias("lk"))
+
+
 def resolve_references(facts: DataFrame, *, block: int = DEFAULT_BLOCK,
-                       bindings: DataFrame | None = None) -> DataFrame:
-    """C2-C4 on references: ``(task_id, seq, api_key, api_call, line, col_offset)``
-    for every stored reference that resolves to a call text."""
-    refs = facts.where((F.col("fact") == "ref") & F.col("stored")).select(
-        "task_id", "seq", "kind", F.col("name").alias("key"), "root", "rest", "args", "pargs",
-        "line", "col", "cls", F.col("root").alias("lk"))
-    if bindings is None:
-        bindings = resolve_bindings(facts, block=block)
-    plain = refs.where(F.col("kind") != "self")
-    looked = resolve_aliases(plain, facts, block=block)
+                       keep: bool = True) -> tuple:
+    """C2-C4 for a whole fact table with one as-of pass.
+
+    Returns ``(calls, bindings)``: every stored reference that resolves to a
+    call text ``(task_id, seq, api_key, api_call, line, col_offset)`` and the
+    resolved bindings ``(task_id, id, seq_end, var, text)``.  The looked-up
+    probe table feeds three consumers and is persisted (recomputable from
+    lineage if an executor is lost).
+    """
+    max_seq = max_position(facts)
+    looked = resolve_aliases(_probes(facts), facts, block=block, max_seq=max_seq)
+    if keep:
+        looked = looked.persist()
+    bindings = resolve_binding_texts(_bind_start(looked.where(F.col("ptype") == "bind")))
+
+    refs = looked.where(F.col("ptype") == "ref")
     texts = bindings.select("task_id", F.col("id").alias("v"), F.col("text").alias("vt"))
-    looked = looked.join(texts, ["task_id", "v"], "left")
+    refs = refs.join(texts, ["task_id", "v"], "left")
     inits = (facts.where(F.col("fact") == "init")
              .groupBy("task_id", F.col("name").alias("root"))
              .agg(F.min_by("target", "seq").alias("init")))
-    looked = looked.join(inits, ["task_id", "root"], "left")
+    refs = refs.join(inits, ["task_id", "root"], "left")
 
     kind, rest, m, n, vt = F.col("kind"), F.col("rest"), F.col("m"), F.col("n"), F.col("vt")
     dot_rest = F.concat(F.lit("."), rest)
@@ -176,18 +203,22 @@ def resolve_references(facts: DataFrame, *, block: int = DEFAULT_BLOCK,
                   .when(vt.isNotNull(), F.concat(vt, dot_rest))
                   .when(F.col("pargs").isNotNull() & F.col("init").isNotNull(),
                         F.concat(F.col("init"), dot_rest, F.col("pargs")))
-                  .otherwise(F.col("key")))
+                  .otherwise(F.col("name")))
     name_call = (F.when(m.isNotNull() & m.contains("."), m).when(n.isNotNull(), n))
     call_call = (F.when(vt.isNotNull(), F.concat(vt, dot_rest, F.col("args")))
                   .when(m.isNotNull(), F.concat(m, dot_rest, F.col("args")))
                   .when(n.isNotNull(), F.concat(n, dot_rest, F.col("args"))))
     api = F.when(kind == "attr", attr_call).when(kind == "name", name_call).otherwise(call_call)
-    plain_out = looked.select("task_id", "seq", F.col("key").alias("api_key"), api.alias("api_call"),
-                              "pargs", "line", "col")
+    plain_out = refs.select("task_id", "seq", F.col("name").alias("api_key"), api.alias("api_call"),
+                            "pargs", "line", "col")
 
     # C4: self.x inside a class -> <resolved base or class>.x, the key rewritten too
-    selfs = refs.where(F.col("kind") == "self").withColumn("lk", F.col("cls"))
-    looked_s = asof_last(selfs, resolve_classes(facts, block=block), KEYS, ["c"], block=block)
+    cls = looked.where(F.col("ptype") == "class")
+    base = F.when(F.col("kind") == "attr", F.col("target")).otherwise(F.coalesce(F.col("n"), F.col("m")))
+    classes = cls.select("task_id", F.col("name").alias("lk"), "seq", base.alias("c")).where(F.col("c").isNotNull())
+    selfs = facts.where((F.col("fact") == "ref") & F.col("stored") & (F.col("kind") == "self")) \
+                 .select("task_id", "seq", "rest", "pargs", "line", "col", "cls", F.col("cls").alias("lk"))
+    looked_s = asof_last(selfs, classes, KEYS, ["c"], block=block, max_seq=max_seq)
     full = F.concat(F.coalesce(F.col("c"), F.col("cls")), F.lit("."), rest)
     self_out = looked_s.select("task_id", "seq", full.alias("api_key"), full.alias("api_call"),
                                "pargs", "line", "col")
@@ -196,8 +227,9 @@ def resolve_references(facts: DataFrame, *, block: int = DEFAULT_BLOCK,
     # the callee of a call gets that call's arguments unless its text already ends with them
     with_args = F.when(F.col("pargs").isNotNull() & ~F.col("api_call").endswith(F.col("pargs")),
                        F.concat(F.col("api_call"), F.col("pargs"))).otherwise(F.col("api_call"))
-    return out.select("task_id", "seq", "api_key", with_args.alias("api_call"), "line",
-                      F.col("col").alias("col_offset"))
+    calls = out.select("task_id", "seq", "api_key", with_args.alias("api_call"), "line",
+                       F.col("col").alias("col_offset"))
+    return calls, bindings
 
 
 # ------------------------------------------------------------------ C5, C6
@@ -242,9 +274,16 @@ def classify_calls(calls: DataFrame, facts: DataFrame, *, boundary: bool = False
     return j.join(keys, ["task_id", "api_key"])
 
 
-def extract_calls(facts: DataFrame, *, block: int = DEFAULT_BLOCK, boundary: bool = False) -> DataFrame:
+def extract_calls(facts: DataFrame, *, block: int = DEFAULT_BLOCK, boundary: bool = False,
+                  keep: bool = True) -> DataFrame:
     """``(task_id, api_key, api_call, line, col_offset, seq, key_is_api)``;
-    API rows are ``key_is_api``, the rest form the non-API table."""
-    refs = resolve_references(facts, block=block)
+    API rows are ``key_is_api``, the rest form the non-API table.
+
+    ``keep`` persists the fact table, which several lookups read (the Python
+    scan then runs once).
+    """
+    if keep:
+        facts = facts.persist()
+    refs, _ = resolve_references(facts, block=block, keep=keep)
     first = dedupe_key_calls(refs)
     return classify_calls(first, facts, boundary=boundary).drop("is_api")
