@@ -4,3 +4,4 @@ from . import q_samples  # noqa: F401
 from . import q_schema  # noqa: F401
 from . import q_calls  # noqa: F401
 from . import q_catalog  # noqa: F401
+from . import q_requests  # noqa: F401
