@@ -104,7 +104,13 @@ def build_nodes(task_calls: DataFrame, catalog: DataFrame, *, keep_module_childr
         mods = top_nodes.where(F.col("type") == "module").select("task_id", "top")
         nodes = nodes.join(mods, ["task_id", "top"], "left_anti")
     else:
-        nodes = nodes.where(~((F.col("type") == "module") & (F.size("sub") == 0)))
+        # V3 option: the methods of a module owner are lifted to top-level keys of their own
+        mods = top_nodes.where(F.col("type") == "module").select("task_id", "top", F.lit(True).alias("_mod"))
+        j = nodes.join(mods, ["task_id", "top"], "left")
+        is_mod = F.coalesce(F.col("_mod"), F.lit(False))
+        lifted = j.where(is_mod & (F.size("sub") > 0)).withColumn("top", F.col("name")) \
+                  .withColumn("sub", F.array().cast("array<string>")).withColumn("corder", F.lit(-1))
+        nodes = j.where(~is_mod).unionByName(lifted).drop("_mod")
     return cut_lineage(nodes)
 
 
