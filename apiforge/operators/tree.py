@@ -207,7 +207,7 @@ def flatten_nodes(schemas: DataFrame) -> DataFrame:
     """One row per node with data (containers give none, B6):
     ``(task_id, full_name, name, type, signature, value, parameters_json, path, korder, corder)``."""
     return schemas.select("task_id", F.array_join("path", ".").alias("full_name"), "name", "type",
-                          "signature", "value", "parameters_json", "path", "korder", "corder") \
+                          "signature", "value", "parameters_json", "resolved", "path", "korder", "corder") \
                   .where(F.col("name").isNotNull())
 
 
