@@ -6,3 +6,4 @@ from . import q_calls  # noqa: F401
 from . import q_catalog  # noqa: F401
 from . import q_requests  # noqa: F401
 from . import q_bindings  # noqa: F401
+from . import q_corpus  # noqa: F401
