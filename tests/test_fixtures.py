@@ -235,3 +235,36 @@ def test_api_and_non_api_partition_keys(spark):
     a = {r["api_key"] for r in sites.api_calls(calls).collect()}
     n = {r["api_key"] for r in sites.non_api(calls).collect()}
     assert a and n and not (a & n)
+
+
+def test_subscript_resolution_and_nesting(spark):
+    cat = spark.createDataFrame([
+        ("matplotlib", "module", None, None), ("matplotlib.pyplot", "module", None, None),
+        ("matplotlib.pyplot.subplots", "callable", "(nrows=1, ncols=1)", None),
+        ("matplotlib.pyplot.subplots[1].plot", "method", "(*args, scalex=True)", None)],
+        "symbol string, kind string, signature string, value string")
+    tc = spark.createDataFrame([("t", "matplotlib.pyplot.subplots[1].plot(x)", 0),
+                                ("t", "matplotlib.pyplot.subplots()", 1)],
+                               "task_id string, api_call string, ord int")
+    out = {r["full_name"]: r for r in tree.build_api_info(tc, cat).collect()}
+    assert set(out) == {"matplotlib.pyplot.subplots", "matplotlib.pyplot.subplots.[1].plot"}
+    base = out["matplotlib.pyplot.subplots"]
+    assert base["type"] == "class"                 # callable base with a subscript child
+    item = out["matplotlib.pyplot.subplots.[1].plot"]
+    assert (item["name"], item["type"], item["signature"]) == (
+        "matplotlib.pyplot.subplots[1].plot", "method", "(*args, scalex=True)")
+    assert item["parameters_json"] == '{"type": "object", "properties": {"scalex": {"type": "bool", "default": true}}}'
+
+
+def test_nesting_order_three_levels(spark):
+    # a.b.c comes before a.b: a.b is still a key then, so a.b.c goes below it and moves along
+    cat = spark.createDataFrame([
+        ("a", "module", None, None), ("a.b", "callable", "(x)", None), ("a.b.c", "callable", "(y)", None),
+        ("q", "module", None, None), ("q.r", "callable", "(z)", None)],
+        "symbol string, kind string, signature string, value string")
+    tc = spark.createDataFrame([("t", "a.b.c(1)", 0), ("t", "a.b(2)", 1), ("t", "q.r.s.t", 2)],
+                               "task_id string, api_call string, ord int")
+    got = sorted(r["full_name"] for r in tree.build_api_info(tc, cat).collect())
+    assert got == ["a.b", "a.b.c", "q.r.s.t"]
+    rows = {r["full_name"]: r for r in tree.build_api_info(tc, cat).collect()}
+    assert rows["a.b"]["parameters_json"] == '{"type": "object", "properties": {"x": {}}}'
