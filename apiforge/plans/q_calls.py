@@ -111,7 +111,7 @@ FROM expected WHERE key_is_api GROUP BY task_id, line, col_offset
 """)
 def q_group_by_position(spark, sf):
     g = sites.group_by_position(sites.api_calls(calls(spark, sf)))
-    return g.select("task_id", "line", "col_offset", F.size("entries").alias("n_entries"),
+    return g.select("task_id", "line", "col_offset", F.size("entries").cast("long").alias("n_entries"),
                     F.array_join(F.transform(F.sort_array("entries", asc=False),
                                              lambda e: F.concat(e["api_key"], F.lit("="), e["api_call"])),
                                  " | ").alias("entries"))
@@ -126,7 +126,7 @@ FROM d GROUP BY task_id
 """)
 def q_task_call_list(spark, sf):
     lst = sites.task_call_list(sites.api_calls(calls(spark, sf)))
-    return lst.select("task_id", F.size("calls").alias("n_calls"), F.array_join("calls", "\n").alias("calls"))
+    return lst.select("task_id", F.size("calls").cast("long").alias("n_calls"), F.array_join("calls", "\n").alias("calls"))
 
 
 @query("inverted_index", f"""

@@ -109,7 +109,7 @@ FROM conversations GROUP BY conv_id
 """)
 def q_chat_transcript(spark, sf):
     t = RQ.chat_transcript(table(spark, sf, "conversations"))
-    return t.select("conv_id", F.size("messages").alias("n_turns"),
+    return t.select("conv_id", F.size("messages").cast("long").alias("n_turns"),
                     F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])),
                                  "\n").alias("transcript"))
 
