@@ -24,8 +24,16 @@ from . import catalog as C
 
 
 def task_calls_with_order(task_lists: DataFrame) -> DataFrame:
-    """``(task_id, calls ARRAY)`` -> ``(task_id, api_call, ord)``."""
-    return task_lists.select("task_id", F.posexplode("calls").alias("ord", "api_call"))
+    """``(task_id, api_call, ord)`` from the long form of C9 (kept as is) or
+    from the list form ``(task_id, calls ARRAY)`` (position as order)."""
+    if "calls" in task_lists.columns:
+        return task_lists.select("task_id", F.posexplode("calls").alias("ord", "api_call"))
+    o = F.col("ord")
+    if "seg" in task_lists.schema["ord"].dataType.simpleString():
+        # the struct order as one sortable text: segment, then length descending, then text
+        o = F.concat(o["seg"], F.lit("\u0000"), F.lpad((F.lit(1 << 30) + o["neg_len"]).cast("string"), 10, "0"),
+                     F.lit("\u0000"), o["text"])
+    return task_lists.select("task_id", "api_call", o.alias("ord"))
 
 
 def split_by_owner(calls: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -98,7 +106,7 @@ def build_nodes(task_calls: DataFrame, catalog: DataFrame, *, keep_module_childr
     nodes = top_nodes.drop("winner").unionByName(
         live_chains.select("task_id", "top", "sub", "korder", "name", "type", "signature", "value",
                            "resolved", F.col("cord").alias("_cord")), allowMissingColumns=True)
-    nodes = nodes.withColumn("corder", F.coalesce(F.col("_cord"), F.lit(-1))).drop("_cord")
+    nodes = nodes.withColumnRenamed("_cord", "corder")   # null for top-level nodes (sorts first)
     # Top-level modules go, with their chains
     if not keep_module_children:
         mods = top_nodes.where(F.col("type") == "module").select("task_id", "top")
@@ -109,7 +117,7 @@ def build_nodes(task_calls: DataFrame, catalog: DataFrame, *, keep_module_childr
         j = nodes.join(mods, ["task_id", "top"], "left")
         is_mod = F.coalesce(F.col("_mod"), F.lit(False))
         lifted = j.where(is_mod & (F.size("sub") > 0)).withColumn("top", F.col("name")) \
-                  .withColumn("sub", F.array().cast("array<string>")).withColumn("corder", F.lit(-1))
+                  .withColumn("sub", F.array().cast("array<string>")).withColumn("corder", F.lit(None).cast(j.schema["corder"].dataType))
         nodes = j.where(~is_mod).unionByName(lifted).drop("_mod")
     return cut_lineage(nodes)
 

@@ -118,15 +118,27 @@ def q_group_by_position(spark, sf):
 
 
 @query("task_call_list", f"""
+WITH {_SRC_SQL}, {_EXPECTED_SQL}
+SELECT DISTINCT task_id, api_call, split_part(api_call, '.', 1) AS segment, length(api_call) AS length
+FROM expected WHERE key_is_api
+""")
+def q_task_call_list(spark, sf):
+    lst = sites.task_call_list(sites.api_calls(calls(spark, sf)))
+    return lst.select("task_id", "api_call", F.col("ord.seg").alias("segment"),
+                      (-F.col("ord.neg_len")).cast("long").alias("length"))
+
+
+@query("task_call_arrays", f"""
 WITH {_SRC_SQL}, {_EXPECTED_SQL},
 d AS (SELECT DISTINCT task_id, api_call FROM expected WHERE key_is_api)
 SELECT task_id, count(*) AS n_calls,
        string_agg(api_call, chr(10) ORDER BY split_part(api_call, '.', 1), length(api_call) DESC, api_call) AS calls
 FROM d GROUP BY task_id
 """)
-def q_task_call_list(spark, sf):
-    lst = sites.task_call_list(sites.api_calls(calls(spark, sf)))
-    return lst.select("task_id", F.size("calls").cast("long").alias("n_calls"), F.array_join("calls", "\n").alias("calls"))
+def q_task_call_arrays(spark, sf):
+    lst = sites.task_call_arrays(sites.task_call_list(sites.api_calls(calls(spark, sf))))
+    return lst.select("task_id", F.size("calls").cast("long").alias("n_calls"),
+                      F.array_join("calls", "\n").alias("calls"))
 
 
 @query("inverted_index", f"""
