@@ -268,3 +268,27 @@ def test_nesting_order_three_levels(spark):
     assert got == ["a.b", "a.b.c", "q.r.s.t"]
     rows = {r["full_name"]: r for r in tree.build_api_info(tc, cat).collect()}
     assert rows["a.b"]["parameters_json"] == '{"type": "object", "properties": {"x": {}}}'
+
+
+def test_r10_tuple_binding(spark):
+    code = "import matplotlib.pyplot as plt\nfig, ax = plt.subplots()\nax.plot(x)\n"
+    facts, calls = extract(spark, code)
+    assert rows(calls, "api_key", "api_call", "line", "col_offset") == [
+        ("ax.plot", "matplotlib.pyplot.subplots()[1].plot(x)", 3, 0),
+        ("plt.subplots", "matplotlib.pyplot.subplots()", 2, 10)]
+    vm = dict(rows(resolve.variable_map(resolve.resolve_bindings(facts)), "var", "text"))
+    assert vm == {"fig": "matplotlib.pyplot.subplots()[0]", "ax": "matplotlib.pyplot.subplots()[1]"}
+
+
+def test_r11_subscript_target_gives_only_the_attribute(spark):
+    code = "import flask\napp = flask.Flask(n)\napp.config['K'] = 1\n"
+    _, calls = extract(spark, code)
+    assert rows(calls, "api_key", "api_call", "line", "col_offset") == [
+        ("app.config", "flask.Flask(n).config", 3, 0), ("flask.Flask", "flask.Flask(n)", 2, 6)]
+
+
+def test_r13_with_builtin_function(spark):
+    code = "with open(f) as fh:\n    fh.read()\n"
+    facts, calls = extract(spark, code)
+    assert rows(calls, "api_key", "api_call", "line", "col_offset", "key_is_api") == [
+        ("fh.read", "open.read()", 2, 4, False)]
