@@ -292,3 +292,26 @@ def test_r13_with_builtin_function(spark):
     facts, calls = extract(spark, code)
     assert rows(calls, "api_key", "api_call", "line", "col_offset", "key_is_api") == [
         ("fh.read", "open.read()", 2, 4, False)]
+
+
+def test_strict_checks_fail_the_job(spark, tmp_path):
+    apis = spark.createDataFrame([(1, "function", None)], "api_id long, type string, error string")
+    unknown = spark.createDataFrame([(2, '{"type": "function"}')], "api_id long, synthesis string")
+    with pytest.raises(Exception):
+        curate.validate_type(unknown, apis).collect()
+    bad = spark.createDataFrame([(1, "{bad")], "api_id long, synthesis string")
+    with pytest.raises(Exception):
+        curate.validate_type(bad, apis).collect()
+    with pytest.raises(Exception):
+        curate.validate_json(bad, "synthesis").collect()
+    flagged = curate.validate_json(bad, "synthesis", strict=False).collect()
+    assert flagged[0]["json_ok"] is False
+    p = tmp_path / "bad.jsonl"
+    p.write_text('{"a": 1}\n{oops\n')
+    from apiforge.sources import io
+    with pytest.raises(Exception):
+        io.read_jsonl(spark, str(p), "a long").collect()
+    schemas = spark.createDataFrame([("T/9", 0)], "task_id string, id_num long")
+    corpus_df = spark.createDataFrame([("T/1", "x")], "task_id string, code string")
+    with pytest.raises(Exception):
+        requests.attach_examples(schemas, corpus_df).collect()
