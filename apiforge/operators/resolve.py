@@ -196,10 +196,23 @@ def resolve_references(facts: DataFrame, *, block: int = DEFAULT_BLOCK,
              .agg(F.min_by("target", "seq").alias("init")))
     refs = refs.join(inits, ["task_id", "root"], "left")
 
+    # After a variable substitution the first dotted segment of the text is
+    # looked up once more among modules and names (as of the reference)
+    full = F.concat(F.col("vt"), F.lit("."), F.col("rest"))
+    need = refs.where((F.col("kind") == "attr") & F.col("m").isNull() & F.col("n").isNull()
+                      & F.col("vt").isNotNull())
+    second = resolve_aliases(need.select("task_id", "seq", F.substring_index(full, ".", 1).alias("lk")),
+                             facts, block=block, max_seq=max_seq)
+    second = second.select("task_id", "seq", F.col("m").alias("m2"), F.col("n").alias("n2"))
+    refs = refs.join(second, ["task_id", "seq"], "left")
+
     kind, rest, m, n, vt = F.col("kind"), F.col("rest"), F.col("m"), F.col("n"), F.col("vt")
     dot_rest = F.concat(F.lit("."), rest)
+    tail = F.substr(full, F.length(F.substring_index(full, ".", 1)) + 1, F.length(full))
     attr_call = (F.when(m.isNotNull(), F.concat(m, dot_rest))
                   .when(n.isNotNull(), F.concat(n, dot_rest))
+                  .when(vt.isNotNull() & F.col("m2").isNotNull(), F.concat(F.col("m2"), tail))
+                  .when(vt.isNotNull() & F.col("n2").isNotNull(), F.concat(F.col("n2"), tail))
                   .when(vt.isNotNull(), F.concat(vt, dot_rest))
                   .when(F.col("pargs").isNotNull() & F.col("init").isNotNull(),
                         F.concat(F.col("init"), dot_rest, F.col("pargs")))

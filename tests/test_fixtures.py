@@ -315,3 +315,10 @@ def test_strict_checks_fail_the_job(spark, tmp_path):
     corpus_df = spark.createDataFrame([("T/1", "x")], "task_id string, code string")
     with pytest.raises(Exception):
         requests.attach_examples(schemas, corpus_df).collect()
+
+
+def test_r5_second_lookup_after_variable(spark):
+    code = "from m import f\nx = f()\nimport q as m\nx.g()\n"
+    _, calls = extract(spark, code)
+    got = {r["api_key"]: r["api_call"] for r in calls.collect()}
+    assert got["x.g"] == "q.f().g()"
