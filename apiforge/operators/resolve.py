@@ -133,7 +133,7 @@ def resolve_bindings(facts: DataFrame, *, block: int = DEFAULT_BLOCK) -> DataFra
     binds = facts.where(F.col("fact") == "bind").select(
         "task_id", "seq", "seq_end", "kind", "name", "target", "root", "rest", "args", "idx",
         F.col("root").alias("lk"))
-    looked = resolve_aliases(binds, facts, block=block, max_seq=max_position(facts)).persist()
+    looked = cut_lineage(resolve_aliases(binds, facts, block=block, max_seq=max_position(facts)))
     return resolve_binding_texts(_bind_start(looked))
 
 
@@ -179,13 +179,13 @@ def resolve_references(facts: DataFrame, *, block: int = DEFAULT_BLOCK,
     Returns ``(calls, bindings)``: every stored reference that resolves to a
     call text ``(task_id, seq, api_key, api_call, line, col_offset)`` and the
     resolved bindings ``(task_id, id, seq_end, var, text)``.  The looked-up
-    probe table feeds three consumers and is persisted (recomputable from
-    lineage if an executor is lost).
+    probe table feeds three consumers and is written once to the checkpoint
+    folder (nothing stays pinned in executor memory between queries).
     """
     max_seq = max_position(facts)
     looked = resolve_aliases(_probes(facts), facts, block=block, max_seq=max_seq)
     if keep:
-        looked = looked.persist()
+        looked = cut_lineage(looked)
     bindings = resolve_binding_texts(_bind_start(looked.where(F.col("ptype") == "bind")))
 
     refs = looked.where(F.col("ptype") == "ref")
@@ -292,11 +292,11 @@ def extract_calls(facts: DataFrame, *, block: int = DEFAULT_BLOCK, boundary: boo
     """``(task_id, api_key, api_call, line, col_offset, seq, key_is_api)``;
     API rows are ``key_is_api``, the rest form the non-API table.
 
-    ``keep`` persists the fact table, which several lookups read (the Python
-    scan then runs once).
+    ``keep`` writes the fact table once to the checkpoint folder; several
+    lookups read it and the Python scan runs once.
     """
     if keep:
-        facts = facts.persist()
+        facts = cut_lineage(facts)
     refs, _ = resolve_references(facts, block=block, keep=keep)
     first = dedupe_key_calls(refs)
     return classify_calls(first, facts, boundary=boundary).drop("is_api")

@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
@@ -80,7 +81,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     from the last written round instead of from the source.
     """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # a reliable checkpoint runs the plan once for the eager job and once more
+    # to write the files; caching in between makes that a single computation,
+    # and the cache is dropped as soon as the files are written
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
