@@ -44,7 +44,7 @@ def _with_builtin(df: DataFrame, spark, col: str = "lk") -> DataFrame:
 
 # ------------------------------------------------------------------ C2 + lookups
 
-def lookup_space(facts: DataFrame, *, block: int = DEFAULT_BLOCK) -> DataFrame:
+def lookup_space(facts: DataFrame, *, block: int = DEFAULT_BLOCK, imports_only: bool = False) -> DataFrame:
     """Build rows of the as-of lookup: imports (module ``m`` / name ``n``) at their
     position and bindings (``v`` = binding id) at the end of their statement."""
     imp = facts.where(F.col("fact") == "import").select(
@@ -56,7 +56,7 @@ def lookup_space(facts: DataFrame, *, block: int = DEFAULT_BLOCK) -> DataFrame:
         "task_id", F.col("name").alias("lk"), F.col("seq_end").alias("seq"),
         F.lit(None).cast("string").alias("m"), F.lit(None).cast("string").alias("n"),
         F.col("seq").alias("v"))
-    return imp.unionByName(bnd)
+    return imp if imports_only else imp.unionByName(bnd)
 
 
 def max_position(facts: DataFrame) -> int:
@@ -66,12 +66,13 @@ def max_position(facts: DataFrame) -> int:
 
 
 def resolve_aliases(probe: DataFrame, facts: DataFrame, *, block: int = DEFAULT_BLOCK,
-                    max_seq: int | None = None) -> DataFrame:
+                    max_seq: int | None = None, imports_only: bool = False) -> DataFrame:
     """C2 (+ variable lookup): add ``m`` (module target, builtin types included),
     ``n`` (imported name target) and ``v`` (id of the visible binding) for the
     name in column ``lk`` as of ``seq``."""
     spark = probe.sparkSession
-    r = asof_last(probe, lookup_space(facts), KEYS, ["m", "n", "v"], block=block, max_seq=max_seq)
+    r = asof_last(probe, lookup_space(facts, imports_only=imports_only), KEYS, ["m", "n", "v"],
+                  block=block, max_seq=max_seq)
     r = _with_builtin(r, spark)
     return r.withColumn("m", F.coalesce(F.col("m"), F.col("_bt"))).drop("_bt")
 
@@ -202,7 +203,7 @@ def resolve_references(facts: DataFrame, *, block: int = DEFAULT_BLOCK,
     need = refs.where((F.col("kind") == "attr") & F.col("m").isNull() & F.col("n").isNull()
                       & F.col("vt").isNotNull())
     second = resolve_aliases(need.select("task_id", "seq", F.substring_index(full, ".", 1).alias("lk")),
-                             facts, block=block, max_seq=max_seq)
+                             facts, block=block, max_seq=max_seq, imports_only=True)
     second = second.select("task_id", "seq", F.col("m").alias("m2"), F.col("n").alias("n2"))
     refs = refs.join(second, ["task_id", "seq"], "left")
 
