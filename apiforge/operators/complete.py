@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import prompts as P
+from ..session import ship_package
 
 
 def complete(requests: DataFrame, complete_fn: Callable[[pd.DataFrame], list], *,
@@ -31,6 +32,7 @@ def complete(requests: DataFrame, complete_fn: Callable[[pd.DataFrame], list], *
     a small request table over more tasks (each task runs its own model
     client).
     """
+    ship_package(requests.sparkSession)
     keep = [c for c in keep if c in requests.columns]
     fields = [requests.schema[c] for c in keep] + [T.StructField(out_col, T.StringType())]
     schema = T.StructType(fields)

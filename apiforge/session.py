@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -92,3 +93,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``apiforge`` importable in the Python workers of this session.
+
+    Operators that run Python on executors (``mapInPandas``) pickle their
+    functions by module name, so the workers must import this package.  The
+    package sources are zipped once per application and handed to
+    ``addPyFile`` (what ``--py-files`` does); Spark serves the file to every
+    executor.  Harmless when the package is installed on the cluster anyway.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="apiforge-pyfiles-"), "apiforge.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, base))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..operators import complete as CMP
+from ..session import ship_package
 
 
 def stream_completions(spark: SparkSession, requests_path: str, schema: T.StructType | str,
@@ -31,6 +32,7 @@ def stream_completions(spark: SparkSession, requests_path: str, schema: T.Struct
     ``api_name_col`` and whatever ``complete_fn`` reads.  With
     ``available_now`` the query processes what is there and stops.
     """
+    ship_package(spark)
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
