@@ -10,10 +10,12 @@ session runs in local mode and nothing was configured.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 
-from pyspark import StorageLevel
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
@@ -35,12 +37,26 @@ DEFAULT_CONF = {
 def get_spark(master: str | None = None, app: str = "apiforge",
               shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session with the library defaults."""
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = SparkSession.builder.appName(app).master(master or f"local[{cpus}]")
+    """Build (or reuse) a session with the library defaults.
+
+    A job that was submitted with a master keeps that master, its memory and
+    its partition counts; the local settings below apply only where the caller
+    asks for them or where no master is configured (tests, bench, laptop).
+    """
+    given = SparkConf()
+    builder = SparkSession.builder.appName(app)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or int(cpus))
-    conf["spark.driver.memory"] = os.environ.get("APIFORGE_DRIVER_MEMORY", "16g")
+    local = master or (None if given.contains("spark.master")
+                       else f"local[{os.environ.get('BENCH_CPUS', '8')}]")
+    if local:
+        builder = builder.master(local)
+        cores = re.match(r"local\[(\d+)\]", local)
+        if shuffle_partitions is None and cores:
+            shuffle_partitions = int(cores.group(1))
+        if not given.contains("spark.driver.memory"):
+            conf["spark.driver.memory"] = os.environ.get("APIFORGE_DRIVER_MEMORY", "8g")
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -75,20 +91,45 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_STAGED: dict = {}
+
+
+def stage(df: DataFrame, label: str = "rows", partition_by: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
+
+    Cuts the lineage like a reliable checkpoint, computes the plan once, and the
+    copy keeps column pruning, filter pushdown and statistics.  Whatever
+    was computed per task (partition ids, positions) is data afterwards.  The
+    folders stay until ``release_stages``.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/apiforge-stages/{uuid.uuid4().hex}-{label}"
+    writer = df.write.mode("errorifexists")
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.parquet(path)
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def release_stages(spark: SparkSession) -> int:
+    """Delete the staged tables of this application (call it when no DataFrame
+    built on them is used any more); returns how many folders went."""
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the session's checkpoint folder.
+    """Written copy of ``df`` in the session's shared folder.
 
     Used between rounds of iterative operators so a lost executor recomputes
     from the last written round instead of from the source.
     """
-    checkpoint_dir(df.sparkSession)
-    # a reliable checkpoint runs the plan once for the eager job and once more
-    # to write the files; caching in between makes that a single computation,
-    # and the cache is dropped as soon as the files are written
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cached.checkpoint(eager=True)
-    cached.unpersist()
-    return out
+    return stage(df, "round")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
