@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import packing, token_counts
+from . import packing, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,8 @@ def op7(spark, sf):
 @query("op9_best_fit_packing")
 def op9(spark, sf):
     return packing.pack_documents(read_table(spark, sf, "documents"))
+
+
+@query("op5_quality_classifier")
+def op5(spark, sf):
+    return quality.classify(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
