@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import packing, quality, token_counts
+from . import packing, quality, rules, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +35,8 @@ def op9(spark, sf):
 @query("op5_quality_classifier")
 def op5(spark, sf):
     return quality.classify(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
+
+
+@query("op8_quality_rules")
+def op8(spark, sf):
+    return rules.judge(read_table(spark, sf, "documents"), rules.trusted_ids(read_table(spark, sf, "labels")))
