@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import packing, quality, rules, token_counts
+from . import mixing, packing, quality, rules, shards, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,36 @@ def op5(spark, sf):
 @query("op8_quality_rules")
 def op8(spark, sf):
     return rules.judge(read_table(spark, sf, "documents"), rules.trusted_ids(read_table(spark, sf, "labels")))
+
+
+@query("op3_sharding")
+def op3(spark, sf):
+    return shards.assign_shards(read_table(spark, sf, "documents"))
+
+
+#: The same plan in SQL: water level, Pareto ranks, prefix nearest to the open words.
+MIX_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w,
+             (2 * source_size)::DOUBLE AS cap FROM s),
+l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS lvl
+      FROM w WINDOW b AS (ORDER BY cap / w, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(cap, w * max(lvl) OVER ()) AS target FROM l),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole,
+             CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END AS p FROM t),
+q AS (SELECT d.doc_id, d.size, p.*, CASE WHEN p.p > 0 THEN u / (1 - u) / (p.p / (1 - p.p)) END AS rank_
+      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+g AS (SELECT source, rank_, doc_id, sum(size) AS n, any_value(target - whole * source_size) AS room FROM q WHERE p > 0 GROUP BY 1, 2, 3),
+c AS (SELECT source, doc_id, 2 * sum(n) OVER (PARTITION BY source ORDER BY rank_, doc_id ROWS UNBOUNDED PRECEDING) - n <= 2 * room AS yes FROM g)
+SELECT q.doc_id, q.size, q.source_size, q.target, (q.size * (q.whole + coalesce(c.yes, false)::BIGINT))::BIGINT AS taken
+FROM q LEFT JOIN c ON q.source IS NOT DISTINCT FROM c.source AND q.doc_id IS NOT DISTINCT FROM c.doc_id
+"""
+
+
+@query("op6_source_mixing", MIX_SQL)
+def op6(spark, sf):
+    return mixing.mix(read_table(spark, sf, "documents"))
