@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import mixing, packing, quality, rules, shards, token_counts
+from . import mixing, neardup, packing, quality, rules, shards, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,8 @@ FROM q LEFT JOIN c ON q.source IS NOT DISTINCT FROM c.source AND q.doc_id IS NOT
 @query("op6_source_mixing", MIX_SQL)
 def op6(spark, sf):
     return mixing.mix(read_table(spark, sf, "documents"))
+
+
+@query("op10_minhash_near_dedup")
+def op10(spark, sf):
+    return neardup.near_duplicates(read_table(spark, sf, "documents"))
