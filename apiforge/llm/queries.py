@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import mixing, neardup, packing, quality, rules, shards, token_counts
+from . import lines, mixing, neardup, packing, quality, rules, shards, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,30 @@ def op6(spark, sf):
 @query("op10_minhash_near_dedup")
 def op10(spark, sf):
     return neardup.near_duplicates(read_table(spark, sf, "documents"))
+
+
+#: Later copies of shortest runs of 50 words, compared as text.
+LINES_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents),
+l AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) - 1 AS i FROM d),
+c AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))::BIGINT AS w,
+             sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))::BIGINT) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM l),
+r AS (SELECT x.doc_id, x.i AS a, min(y.i) AS b FROM c x JOIN c y ON x.doc_id = y.doc_id AND y.upto >= x.upto - x.w + 50 GROUP BY 1, 2
+      UNION
+      SELECT x.doc_id, max(y.i) AS a, x.i AS b FROM c x JOIN c y ON x.doc_id = y.doc_id AND y.upto - y.w + 50 <= x.upto GROUP BY 1, 3),
+t AS (SELECT r.doc_id, r.a, r.b, string_agg(c.line, chr(10) ORDER BY c.i) AS body
+      FROM r JOIN c ON c.doc_id = r.doc_id AND c.i BETWEEN r.a AND r.b GROUP BY 1, 2, 3),
+o AS (SELECT *, min(doc_id * 1000000 + a) OVER (PARTITION BY body) AS origin FROM t),
+x AS (SELECT DISTINCT c.doc_id, c.i FROM o JOIN c ON c.doc_id = o.doc_id AND c.i BETWEEN o.a AND o.b
+      WHERE o.doc_id * 1000000 + o.a > o.origin),
+k AS (SELECT c.doc_id, string_agg(c.line, chr(10) ORDER BY c.i) AS text
+      FROM c LEFT JOIN x ON x.doc_id = c.doc_id AND x.i = c.i WHERE x.i IS NULL GROUP BY 1)
+SELECT d.doc_id, coalesce(len(d.a), 0)::BIGINT AS n_lines, (SELECT count(*) FROM x WHERE x.doc_id = d.doc_id)::BIGINT AS n_deleted,
+       CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+
+@query("op4_line_dedup", LINES_SQL)
+def op4(spark, sf):
+    return lines.deduped_rows(read_table(spark, sf, "documents"))
