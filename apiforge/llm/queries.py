@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import lines, mixing, neardup, packing, quality, rules, shards, token_counts
+from . import lines, mixing, neardup, packing, quality, rules, shards, token_counts, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +105,18 @@ FROM d LEFT JOIN k ON k.doc_id = d.doc_id
 @query("op4_line_dedup", LINES_SQL)
 def op4(spark, sf):
     return lines.deduped_rows(read_table(spark, sf, "documents"))
+
+
+TOPK_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, r.vec_id, list_dot_product(q.v, r.v)::BIGINT AS score
+      FROM e q JOIN e r ON q.vec_id <> r.vec_id AND len(q.v) = len(r.v) WHERE q.vec_id % 20 = 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM o WHERE rank <= 20
+"""
+
+
+@query("op2_exact_topk", TOPK_SQL)
+def op2(spark, sf):
+    return topk.exact_top_k(read_table(spark, sf, "embeddings"), lambda i: i % 20 == 0)
