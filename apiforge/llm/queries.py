@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import lines, mixing, neardup, packing, quality, rules, shards, token_counts, topk
+from . import lines, mixing, neardup, packing, pages, quality, rules, shards, token_counts, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -120,3 +120,8 @@ SELECT query_id, rank, vec_id, score FROM o WHERE rank <= 20
 @query("op2_exact_topk", TOPK_SQL)
 def op2(spark, sf):
     return topk.exact_top_k(read_table(spark, sf, "embeddings"), lambda i: i % 20 == 0)
+
+
+@query("op1_site_style_tree")
+def op1(spark, sf):
+    return pages.main_text(read_table(spark, sf, "pages"))
