@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -93,10 +94,11 @@ class Page:
     """Blocks of a page with the paths above them, and the child sequence of every path."""
 
     def __init__(self, text: str, unimportant: frozenset | set = frozenset()):
-        self.blocks: list[tuple[str, tuple[int, ...], int]] = []   # text, style paths, region
+        self.blocks: list[tuple[str, int, int]] = []                # text, style path, region
         self.children: dict[int, list[int]] = {}
         self.regions: set[int] = set()                              # 2: article, 1: main
         self._open: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]   # tag, path, noise, region
+        self._tags: Counter = Counter()                             # of what is open
         self._text: list[str] = []
         self._unimportant = unimportant
         at, n = 0, len(text)
@@ -131,7 +133,7 @@ class Page:
             s = " ".join(_html.unescape("".join(self._text)).split())
             self._text.clear()
             if s:
-                self.blocks.append((s, tuple(p for _, p, _, _ in self._open[1:]), self._open[-1][3]))
+                self.blocks.append((s, self._open[-1][1], self._open[-1][3]))
 
     def _start(self, tag: str, raw: str) -> None:
         if tag == "br":
@@ -161,24 +163,35 @@ class Page:
         if not noise and region:
             self.regions.add(region)
         self._open.append((tag, path, noise, region))
+        self._tags[tag] += 1
+
+    def _drop(self, k: int) -> None:
+        """Close everything from place ``k`` of the open elements on."""
+        for tag, *_ in self._open[k:]:
+            self._tags[tag] -= 1
+        del self._open[k:]
 
     def _close(self, tags: set, borders: set) -> None:
+        if not any(self._tags[t] for t in tags):
+            return
         for k in range(len(self._open) - 1, 0, -1):
             if self._open[k][0] in borders:
                 return
             if self._open[k][0] in tags:
-                del self._open[k:]
+                self._drop(k)
                 return
 
     def _end(self, tag: str) -> None:
         if tag in BLOCK:
             self._flush()
+        if not self._tags[tag]:
+            return
         for k in range(len(self._open) - 1, 0, -1):
             if self._open[k][0] == tag:
-                if tag not in BLOCK and any(t in BLOCK for t, *_ in self._open[k + 1:]):
-                    return                                # an inline end tag closes no block
-                del self._open[k:]
+                self._drop(k)
                 return
+            if tag not in BLOCK and self._open[k][0] in BLOCK:
+                return                                    # an inline end tag closes no block
 
     def text(self) -> str:
         region = max(self.regions, default=0)
@@ -200,7 +213,7 @@ def features(pages: DataFrame, url: str, html: str) -> DataFrame:
             for i, t in enumerate(b.column(1).to_pylist()):
                 p = Page(t or "")
                 rows = {(n, 0, xxhash.xxh64_intdigest(repr(c)) - (1 << 63)) for n, c in p.children.items()}
-                rows |= {(paths[-1], 1, xxhash.xxh64_intdigest(s) - (1 << 63)) for s, paths, _ in p.blocks if paths}
+                rows |= {(path, 1, xxhash.xxh64_intdigest(s) - (1 << 63)) for s, path, _ in p.blocks}
                 for n, k, f in rows:
                     at.append(i)
                     node.append(n)
