@@ -42,7 +42,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(docs, width=5, num=80, den=100)
     gone = stage(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     small = gone.count() <= neardup.BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
