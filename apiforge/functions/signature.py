@@ -96,7 +96,11 @@ def parse_default(d: Column) -> Column:
     raw = F.struct(F.lit("str").alias("kind"), J.quote(d).alias("json"))
     int_like = d.rlike("^-*[0-9][-0-9]*$")
     float_like = d.rlike(r"^[-.]*[0-9][-.0-9]*$")
-    as_int = d.try_cast("bigint")
+    # an integer of any length: one sign at most, no leading zeros but for 0 itself
+    negative = F.startswith(d, F.lit("-"))
+    digits = F.ltrim(F.regexp_replace(d, "^-", ""), F.lit("0"))
+    as_int = F.when(d.rlike("^-?[0-9]+$"), F.when(digits == "", F.lit("0")).otherwise(
+        F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), digits)))
     as_float = F.when(d.rlike(r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)$"), d.try_cast("double"))
     return (F.when(F.lower(d) == "none", F.struct(F.lit("null").alias("kind"), F.lit("null").alias("json")))
              .when(d.isin("True", "False"),
@@ -105,7 +109,7 @@ def parse_default(d: Column) -> Column:
                    F.struct(F.lit("str").alias("kind"), J.quote(F.btrim(d, F.lit("'\""))).alias("json")))
              .when(int_like,
                    F.when(as_int.isNotNull(),
-                          F.struct(F.lit("int").alias("kind"), as_int.cast("string").alias("json")))
+                          F.struct(F.lit("int").alias("kind"), as_int.alias("json")))
                    .otherwise(raw))
              .when(float_like,
                    F.when(as_float.isNotNull(),
@@ -130,6 +134,31 @@ def parse_type(ann: Column) -> Column:
     return F.when(F.contains(ann, F.lit("|")), union).otherwise(single)
 
 
+def inside(sig: Column) -> Column:
+    """What stands in a signature's own parentheses: one outer pair, no return annotation."""
+    return F.regexp_replace(F.regexp_replace(sig, r"(?s)\)\s*->.*$", ")"), r"(?s)^\s*\((.*)\)\s*$", "$1")
+
+
+def split_at_depth_zero(body: Column) -> Column:
+    """Pieces between commas that no bracket or quote encloses.
+
+    A fold over the pieces of a plain split: a piece is joined to the one before while
+    that one has brackets (outside its quotes) or quotes left open.
+    """
+    def open_in(t):
+        bare = F.regexp_replace(t, r"'[^']*'|\"[^\"]*\"", "")
+        count = lambda chars: F.length(bare) - F.length(F.translate(bare, chars, ""))
+        return (count("([{") > count(")]}")) | bare.contains("'") | bare.contains('"')
+
+    def add(acc, piece):
+        last = F.get(acc, F.size(acc) - 1)
+        glued = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(last, F.lit(","), piece)))
+        return F.when((F.size(acc) > 0) & open_in(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(""))), glued) \
+                .otherwise(F.concat(acc, F.array(piece)))
+
+    return F.aggregate(F.split(body, ",", -1), F.array().cast("array<string>"), add)
+
+
 def split_params(sig: Column) -> Column:
     """E1 first half: strip outer parentheses, cut the return annotation,
     split at commas outside ``[...]``."""

@@ -27,6 +27,7 @@ read.
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
@@ -169,7 +170,7 @@ def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     end = np.array([end_id], "<u4").tobytes()
 
     def as_bytes(ids) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def cut(batches):
         c = tokens.coder(tokenizer, "ids", as_bytes)

@@ -10,14 +10,28 @@ between Unicode versions) stays inside one piece, which the library splits.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 #: Characters that no Unicode version counts as white space.
 GRAPHIC = "!-~¡-ɏͰ-ӿ԰-׿ؠ-ي‐-‧一-鿿가-힣"
 _CLEAN = re.compile(f"[{GRAPHIC}](?:.*[{GRAPHIC}])?", re.S).fullmatch
+#: Letters in every Unicode version, then perhaps signs: one or two pre-tokens.
+_WORD_SIGNS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*,.:;?|]*)").fullmatch
 _CUT = re.compile(f"(?<=[{GRAPHIC}]) (?=[{GRAPHIC}])")
 
+
+def _byte_units() -> dict[int, int]:
+    """How byte-level vocabularies write a byte: itself if it prints in Latin-1, else the
+    next code point from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in prints]
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
+BYTE_UNITS = _byte_units()
+
 #: Longest pre-token that is kept in a cache, and how many a worker keeps.
 CACHED_CHARS, CACHED_PIECES = 64, 400_000
 
@@ -39,8 +53,10 @@ def pieces(text: str) -> tuple[str, list[str]]:
 class Coder(dict):
     """Value of ``" " + piece`` by piece; computed by ``value(ids)`` on a miss.
 
-    A plain ``dict`` lookup serves known pieces.  ``fixed`` entries (the
-    broadcast tier) are never evicted; the worker tier empties when full.
+    Values add up (``value(a + b) == value(a) + value(b)``), so a word and the signs
+    behind it are looked up apart.  A plain ``dict`` lookup serves known pieces.
+    ``fixed`` entries (the broadcast tier) are never evicted; of the others two
+    generations are kept, and what is used moves to the younger one.
     """
 
     def __init__(self, name: str, value, fixed: dict | None = None):
@@ -50,17 +66,46 @@ class Coder(dict):
         self.tok = Tokenizer.from_file(tokenizer_path(name))
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.value, self.fixed = value, dict(fixed or {})
+        self.value, self.fixed, self.signs = value, dict(fixed or {}), {}
+        self.old: dict = {}
+        kind = json.loads(self.tok.to_str())
+        before = kind["pre_tokenizer"] or {}
+        plain = (before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
+                 and kind["model"]["type"] == "BPE" and not kind["normalizer"])
+        #: The library's own model, for words that are one pre-token in any case.
+        self.model = self.tok.model if plain else None
 
     def of(self, text: str):
         return self.value(self.tok.encode(text, add_special_tokens=False).ids)
 
+    def word(self, word: str):
+        """Value of a blank and a word of letters."""
+        if self.model is None:
+            return self.of(" " + word)
+        units = (" " + word).encode().decode("latin-1").translate(BYTE_UNITS)
+        return self.value([t.id for t in self.model.tokenize(units)])
+
     def __missing__(self, piece: str):
-        if not _CLEAN(piece):
-            return None          # the blank before it may not be a border
-        v = self.of(" " + piece)
+        v = self.old.get(piece)
+        if v is None:
+            two = _WORD_SIGNS(piece) if self.model is not None else None
+            if two:
+                word, signs = two.groups()
+                if signs:
+                    if signs not in self.signs:
+                        if len(self.signs) >= CACHED_PIECES:
+                            self.signs.clear()
+                        self.signs[signs] = self.of(signs)
+                    v = self[word] + self.signs[signs]
+                else:
+                    v = self.word(word)
+            elif _CLEAN(piece):
+                v = self.of(" " + piece)
+            else:
+                return None          # the blank before it may not be a border
         if len(piece) <= CACHED_CHARS:
             if len(self) >= CACHED_PIECES + len(self.fixed):
+                self.old = dict(self)
                 self.clear()
                 self.update(self.fixed)
             self[piece] = v

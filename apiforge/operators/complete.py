@@ -74,7 +74,8 @@ def fan_out_json_fields(df: DataFrame, col: str = "completion", *, out_col: str
     as its own output row with ``ordinal``; an answer that is not a JSON
     object gives only the raw text."""
     fields = [F.get_json_object(F.col(col), f"$.{k}") for k in ("name", "signature", "short_description")]
-    is_obj = F.startswith(F.ltrim(F.col(col)), F.lit("{")) & F.try_parse_json(F.col(col)).isNotNull()
+    # the type of the parsed value decides, whatever white space stands before it
+    is_obj = F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(F.col(col))), F.lit("OBJECT")), F.lit(False))
     items = F.array(*[F.when(is_obj, f) for f in fields], F.col(col))
     return df.select("*", F.posexplode(F.filter(items, lambda x: x.isNotNull())).alias("ordinal", out_col))
 
@@ -82,9 +83,3 @@ def fan_out_json_fields(df: DataFrame, col: str = "completion", *, out_col: str
 def to_samples(df: DataFrame, *, api_name: str = "api_name", text: str = "completion") -> DataFrame:
     """``(id_num, task_id, api_name, synthesis)``."""
     return df.select("id_num", "task_id", F.col(api_name).alias("api_name"), F.col(text).alias("synthesis"))
-
-
-def echo_completion(batch: pd.DataFrame) -> list:
-    """Deterministic stand-in for a model: a JSON answer built from the request key."""
-    return [f'{{"name": "api_{i}", "type": "function", "k": {k}}}'
-            for i, k in zip(batch["id_num"], batch["k"])]

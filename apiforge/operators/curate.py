@@ -44,8 +44,10 @@ def validate_type(samples: DataFrame, apis: DataFrame, *, key: str = "api_id",
     ``type_map`` (V9) optionally maps resolver kinds (e.g. ``callable``) to the
     kinds offered in the prompt before comparing.
     """
-    a = apis.select(F.col(key).alias("_k"), F.col("type").alias("_api_type"),
-                    F.col("error").alias("_api_error"), F.lit(True).alias("_known"))
+    # one row per api id: an id listed twice must not multiply samples
+    a = (apis.groupBy(F.col(key).alias("_k")).agg(F.min(F.struct("type", "error")).alias("_a"))
+             .select("_k", F.col("_a.type").alias("_api_type"), F.col("_a.error").alias("_api_error"),
+                     F.lit(True).alias("_known")))
     j = samples.join(a, samples[key] == a["_k"], "left")
     api_type = F.col("_api_type")
     if type_map:
@@ -53,10 +55,14 @@ def validate_type(samples: DataFrame, apis: DataFrame, *, key: str = "api_id",
         api_type = F.coalesce(m[api_type], api_type)
     syn_type = _synthesis_type(F.col("synthesis"), strict)
     keep = F.col("_api_error").isNotNull() | (api_type == syn_type)
+    keep = F.coalesce(keep, F.lit(False))
     if strict:
-        keep = F.when(F.col("_known").isNull(),
-                      F.raise_error(F.concat(F.lit("unknown api id: "),
-                                             F.col(key).cast("string")))).otherwise(keep)
+        keep = (F.when(F.col("_known").isNull(),
+                       F.raise_error(F.concat(F.lit("unknown api id: "),
+                                              F.coalesce(F.col(key).cast("string"), F.lit("null")))))
+                 .when(F.col("_api_error").isNull() & syn_type.isNull(),
+                       F.raise_error(F.concat(F.lit("synthesis without a type, api id "), F.col(key).cast("string"))))
+                 .otherwise(keep))
     return j.where(keep).select(*samples.columns)
 
 
@@ -66,11 +72,14 @@ def check_coverage(samples: DataFrame, apis: DataFrame, *, key: str = "api_id")
 
 
 def assert_coverage(samples: DataFrame, apis: DataFrame, *, key: str = "api_id") -> None:
-    """G3 as a check: raise with a few of the missing ids if any api is uncovered."""
-    missing = check_coverage(samples, apis, key=key).select(key).limit(20).collect()
-    if missing:
-        ids = sorted(r[0] for r in missing)
-        raise AssertionError(f"Missing {ids}")
+    """G3 as a check: raise with all missing ids if any api is uncovered.
+
+    The ids are named by the error only, so they come to the driver only when
+    the check has failed; ``check_coverage`` gives the same as a table.
+    """
+    missing = check_coverage(samples, apis, key=key).select(key).distinct()
+    if not missing.isEmpty():
+        raise AssertionError(f"Missing {sorted(r[0] for r in missing.collect())}")
 
 
 def validate_json(df: DataFrame, col: str, *, strict: bool = True) -> DataFrame:
@@ -87,11 +96,12 @@ def validate_json(df: DataFrame, col: str, *, strict: bool = True) -> DataFrame:
 
 def curate_positive(samples: DataFrame, apis: DataFrame, *, order_col: str | None = None,
                     key: str = "api_id", type_map: dict | None = None,
-                    strict: bool = True) -> DataFrame:
-    """Dedup, then type check.  Coverage is checked on the dedup output
-    by ``check_coverage`` / ``assert_coverage`` (kept separate so the caller
-    decides whether a gap fails the run)."""
+                    strict: bool = True, coverage: bool = False) -> DataFrame:
+    """Dedup, coverage (``coverage=True`` fails the run on an api without samples,
+    before anything is kept), then type check."""
     d = dedupe_exact(samples, order_col)
+    if coverage:
+        assert_coverage(d, apis, key=key)
     return validate_type(d, apis, key=key, type_map=type_map, strict=strict)
 
 

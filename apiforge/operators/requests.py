@@ -84,22 +84,34 @@ def attach_examples(schemas: DataFrame, corpus: DataFrame, *, strict: bool = Tru
     return j.drop("_t")
 
 
+def service_suffix(json_format: bool = True, name: Column | None = None) -> Column:
+    """What follows the prompt in the service form.
+
+    JSON answers: schema, then the response template up to its answer fence.  Text answers (the
+    type stage): schema, a line break, and the whole response template with its mark and the api's name.
+    """
+    if json_format:
+        return F.lit(P.SCHEMA + P.RESPONSE_TEMPLATE.split("```json")[0])
+    return F.concat(F.lit(P.TYPE_SCHEMA + "\n"),
+                    fill(P.TYPE_RESPONSE_TEMPLATE, _MAGIC_SPLITTER_=F.lit(P.MAGIC_SPLITTER),
+                         name=F.lit("") if name is None else name))
+
+
 def assemble_chat(df: DataFrame, *, prompt: str = "prompt", prefix: str = "response_prefix",
-                  service: bool = False, json_format: bool = True) -> DataFrame:
+                  service: bool = False, json_format: bool = True, name: str | None = None) -> DataFrame:
     """chat messages.
 
     Local form: user prompt + assistant prefix (the text before the splitter).
     Service form: system + user, where the user text is the prompt, a newline
-    and the prefix up to the answer fence; the system text depends on the
-    answer format.
+    and ``service_suffix``; the system text depends on the answer format (``name``: the
+    column with the api's name, for text answers).
     """
     role = lambda r, c: F.struct(F.lit(r).alias("role"), c.alias("content"))
     if not service:
         msgs = F.array(role("user", F.col(prompt)), role("assistant", F.col(prefix)))
     else:
         system = P.SYSTEM_JSON if json_format else P.SYSTEM_TEXT
-        user = F.concat(F.col(prompt), F.lit("\n"),
-                        F.split_part(F.col(prefix), F.lit("```json"), F.lit(1)))
+        user = F.concat(F.col(prompt), F.lit("\n"), service_suffix(json_format, F.col(name) if name else None))
         msgs = F.array(role("system", F.lit(system)), role("user", user))
     return df.withColumn("messages", msgs)
 

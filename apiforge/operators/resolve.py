@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import builtins
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -97,26 +97,29 @@ def _bind_start(binds: DataFrame) -> DataFrame:
                         acc.alias("acc"), ptr.alias("ptr"), is_with.alias("is_with"))
 
 
-def resolve_binding_texts(binds: DataFrame, *, max_rounds: int = 64) -> DataFrame:
+def resolve_binding_texts(binds: DataFrame) -> DataFrame:
     """C3 core: pointer doubling over ``(task_id, id, acc, ptr, is_with)``.
 
     A binding absorbs the text of the binding it points to once that one no
     longer waits for a ``with`` cut (the text of ``with f() as x`` is cut at
-    the first ``(`` of its *full* text).  Each round is one join on
-    ``(task_id, id)``; a binding pointed to by very many others is split by
-    AQE's skew join.
+    the first ``(`` of its *full* text).  A round is one join of the bindings that
+    still point somewhere with all bindings; finished ones are set aside.  There is no
+    limit on the rounds: a pointer leads to an earlier binding, so every round finishes
+    at least the first open one of each chain.
     """
-    state = binds
-    for r in range(max_rounds):
-        if r:
-            state = cut_lineage(state)
-        if state.where(F.col("ptr").isNotNull()).isEmpty():
+    done, state = None, binds
+    while True:
+        state = cut_lineage(state)
+        settled = state.where(F.col("ptr").isNull())
+        done = settled if done is None else done.unionByName(settled)
+        waiting = state.where(F.col("ptr").isNotNull())
+        if waiting.isEmpty():
             break
-        a = state.select("task_id", F.col("id").alias("ptr"), F.col("acc").alias("_a_acc"),
-                         F.col("ptr").alias("_a_ptr"), F.col("is_with").alias("_a_with"))
-        j = state.join(a, ["task_id", "ptr"], "left")
-        ok = F.col("ptr").isNotNull() & F.col("_a_acc").isNotNull() & \
-            ~(F.col("_a_with") & F.col("_a_ptr").isNotNull())
+        everything = done.unionByName(waiting)
+        a = everything.select("task_id", F.col("id").alias("ptr"), F.col("acc").alias("_a_acc"),
+                              F.col("ptr").alias("_a_ptr"), F.col("is_with").alias("_a_with"))
+        j = waiting.join(a, ["task_id", "ptr"], "left")
+        ok = F.col("_a_acc").isNotNull() & ~(F.col("_a_with") & F.col("_a_ptr").isNotNull())
         acc = F.when(ok, F.concat(F.col("_a_acc"), F.col("acc"))).otherwise(F.col("acc"))
         ptr = F.when(ok, F.col("_a_ptr")).otherwise(F.col("ptr"))
         nxt = j.select("task_id", "id", "seq_end", "var", acc.alias("acc"), ptr.alias("ptr"), "is_with")
@@ -124,9 +127,7 @@ def resolve_binding_texts(binds: DataFrame, *, max_rounds: int = 64) -> DataFram
         state = nxt.withColumn("acc", F.when(F.col("is_with") & F.col("ptr").isNull()
                                              & F.col("acc").contains("("),
                                              F.substring_index("acc", "(", 1)).otherwise(F.col("acc")))
-    else:
-        raise RuntimeError("binding chains did not resolve")
-    return state.select("task_id", "id", "seq_end", "var", F.col("acc").alias("text"))
+    return done.select("task_id", "id", "seq_end", "var", F.col("acc").alias("text"))
 
 
 def resolve_bindings(facts: DataFrame, *, block: int = DEFAULT_BLOCK) -> DataFrame:
@@ -143,21 +144,6 @@ def variable_map(bindings: DataFrame) -> DataFrame:
     return bindings.groupBy("task_id", "var").agg(F.max_by("text", "seq_end").alias("text"))
 
 
-# ------------------------------------------------------------------ C4
-
-def resolve_classes(facts: DataFrame, *, block: int = DEFAULT_BLOCK) -> DataFrame:
-    """C4 input: class -> resolved first base.  An attribute base is kept as
-    written; a plain name is looked up among imported names, then modules; an
-    unknown name gives no entry."""
-    cls = facts.where(F.col("fact") == "class").select(
-        "task_id", "seq", "kind", F.col("name").alias("cname"), "target", "root",
-        F.col("root").alias("lk"))
-    looked = resolve_aliases(cls, facts, block=block)
-    base = F.when(F.col("kind") == "attr", F.col("target")).otherwise(F.coalesce(F.col("n"), F.col("m")))
-    return looked.select("task_id", F.col("cname").alias("lk"), "seq", base.alias("c")) \
-                 .where(F.col("c").isNotNull())
-
-
 # ------------------------------------------------------------------ references
 
 _PROBE_COLS = ["task_id", "seq", "seq_end", "ptype", "kind", "name", "target", "root", "rest", "args",
@@ -284,8 +270,8 @@ def classify_calls(calls: DataFrame, facts: DataFrame, *, boundary: bool = False
                         & (F.length(F.col("api_call")) == F.length(x)
                            | F.substr(F.col("api_call"), F.length(x) + 1, F.lit(1)).isin(".", "(", "[")))
     j = j.withColumn("is_api", hit(F.col("targets")) | hit(builtins_arr)).drop("targets")
-    keys = j.groupBy("task_id", "api_key").agg(F.bool_and("is_api").alias("key_is_api"))
-    return j.join(keys, ["task_id", "api_key"])
+    # one key of one file has few distinct calls (C6): the window is bounded by the file
+    return j.withColumn("key_is_api", F.bool_and("is_api").over(Window.partitionBy("task_id", "api_key")))
 
 
 def extract_calls(facts: DataFrame, *, block: int = DEFAULT_BLOCK, boundary: bool = False,

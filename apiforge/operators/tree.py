@@ -9,7 +9,7 @@ whole top-level keys below other keys; the final path of a node is
 moved no longer counts as a parent), so every key carries ``ord``.
 
 All steps are joins and aggregations keyed by ``task_id`` plus a key; the
-nesting needs one round per dot level of the keys (a handful).
+nesting needs one round per dot level of the keys that have a parent key.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import signature as S
-from ..session import cut_lineage
+from ..session import cut_lineage, stage
 from . import catalog as C
 
 
@@ -41,7 +41,7 @@ def split_by_owner(calls: DataFrame, catalog: DataFrame) -> DataFrame:
     first ``(``) name a class in the catalog; one-segment calls are standalone."""
     segs = F.split(F.split_part(F.col("api_call"), F.lit("("), F.lit(1)), r"\.", -1)
     owner_sym = F.when(F.size(segs) > 1, F.concat_ws(".", F.element_at(segs, 1), F.element_at(segs, 2)))
-    cls = catalog.where(F.col("kind") == "class").select(F.col("symbol").alias("_os"))
+    cls = catalog.where(F.col("kind") == "class").select(F.col("symbol").alias("_os")).distinct()
     j = calls.withColumn("_owner_sym", owner_sym).join(cls, F.col("_owner_sym") == F.col("_os"), "left")
     return j.withColumn("owned", F.col("_os").isNotNull()).drop("_owner_sym", "_os")
 
@@ -122,14 +122,17 @@ def build_nodes(task_calls: DataFrame, catalog: DataFrame, *, keep_module_childr
     return cut_lineage(nodes)
 
 
-def nest_nodes(nodes: DataFrame, *, max_levels: int | None = None) -> DataFrame:
+def nest_nodes(nodes: DataFrame) -> DataFrame:
     """D9 + D10: move dotted top-level keys below their parent key.
 
     ``a.b.m`` goes below ``a.b`` if that key is present when ``a.b.m`` is
     processed (keys in order; a key already moved is gone), else below
     ``a`` in a container ``b``; ``base[i].m`` goes to ``base -> [i] -> m`` and a
-    ``callable`` base becomes a ``class``.  A key's parent always has fewer
-    dots, so one round per dot level decides all moves.  Adds ``path``.
+    ``callable`` base becomes a ``class``.  One join finds the keys that have a
+    parent or grandparent key at all; only these go through rounds, one per
+    dot level that occurs among them (a parent always has fewer dots), and a round
+    writes its own level only.  Adds ``path``; of several nodes at one path the
+    last stays (a moved key replaces a method of that name, in its place).
     """
     keys = (nodes.where(F.size("sub") == 0)
                  .select("task_id", "top", "korder", "type",
@@ -149,34 +152,35 @@ def nest_nodes(nodes: DataFrame, *, max_levels: int | None = None) -> DataFrame:
         F.when(is_sub, F.array(F.concat(F.lit("["), sub_idx, F.lit("]")), sub_meth))
          .when(n > 1, F.array(F.element_at(segs, -1))).alias("s1"),
         F.when(~is_sub & (n > 2), F.array(F.element_at(segs, -2), F.element_at(segs, -1))).alias("s2"))
-    if max_levels is None:
-        max_levels = int(k.agg(F.max("dots")).first()[0] or 0)
-    placed = None
-    for level in range(0, max_levels + 1):
-        cur = k.where(F.col("dots") == level)
-        if placed is None:
-            nxt = cur.select("*", F.lit(False).alias("moved"), F.array("top").alias("path"),
-                             F.lit(None).cast("string").alias("parent"))
-        else:
-            # parents have fewer dots, so their place is already final
-            def ref(tag):
-                return placed.select(F.col("task_id").alias(f"_{tag}t"), F.col("top").alias(f"_{tag}k"),
-                                     F.col("korder").alias(f"_{tag}o"), F.col("moved").alias(f"_{tag}m"),
-                                     F.col("path").alias(f"_{tag}p"))
-            r1, r2 = ref(1), ref(2)
-            j = (cur.join(r1, (cur["task_id"] == r1["_1t"]) & (cur["b1"] == r1["_1k"]), "left")
-                    .join(r2, (cur["task_id"] == r2["_2t"]) & (cur["b2"] == r2["_2k"]), "left"))
-            # present = a key of the map that was not moved before this key's turn
-            pres1 = F.col("_1k").isNotNull() & ((F.col("_1o") > F.col("korder")) | ~F.col("_1m"))
-            pres2 = F.col("_2k").isNotNull() & ((F.col("_2o") > F.col("korder")) | ~F.col("_2m"))
-            path = (F.when(pres1, F.concat(F.col("_1p"), F.col("s1")))
-                     .when(pres2, F.concat(F.col("_2p"), F.col("s2")))
-                     .otherwise(F.array("top")))
-            parent = F.when(pres1, F.col("b1")).when(pres2, F.col("b2"))
-            nxt = j.select(*k.columns, (pres1 | pres2).alias("moved"), path.alias("path"),
-                           parent.alias("parent"))
-        # persisted each level: the next level reads it twice, so the plan would double otherwise
-        placed = cut_lineage(nxt if placed is None else placed.unionByName(nxt))
+    def key(tag):
+        return k.select(F.col("task_id").alias(f"_{tag}t"), F.col("top").alias(f"_{tag}k")).distinct()
+
+    k1, k2 = key(1), key(2)
+    k = stage(k.join(k1, (F.col("task_id") == k1["_1t"]) & (F.col("b1") == k1["_1k"]), "left")
+               .join(k2, (F.col("task_id") == k2["_2t"]) & (F.col("b2") == k2["_2k"]), "left")
+               .select(*k.columns, (F.col("_1k").isNotNull() | F.col("_2k").isNotNull()).alias("_has")), "keys")
+    placed = k.where(~F.col("_has")).select("*", F.lit(False).alias("moved"), F.array("top").alias("path"),
+                                            F.lit(None).cast("string").alias("parent"))
+    for level in sorted(r[0] for r in k.where("_has").select("dots").distinct().collect()):
+        cur = k.where(F.col("_has") & (F.col("dots") == level))
+        # parents have fewer dots, so their place is already final
+
+        def ref(tag):
+            return placed.select(F.col("task_id").alias(f"_{tag}t"), F.col("top").alias(f"_{tag}k"),
+                                 F.col("korder").alias(f"_{tag}o"), F.col("moved").alias(f"_{tag}m"),
+                                 F.col("path").alias(f"_{tag}p"))
+        r1, r2 = ref(1), ref(2)
+        j = (cur.join(r1, (cur["task_id"] == r1["_1t"]) & (cur["b1"] == r1["_1k"]), "left")
+                .join(r2, (cur["task_id"] == r2["_2t"]) & (cur["b2"] == r2["_2k"]), "left"))
+        # present = a key of the map that was not moved before this key's turn
+        pres1 = F.col("_1k").isNotNull() & ((F.col("_1o") > F.col("korder")) | ~F.col("_1m"))
+        pres2 = F.col("_2k").isNotNull() & ((F.col("_2o") > F.col("korder")) | ~F.col("_2m"))
+        path = (F.when(pres1, F.concat(F.col("_1p"), F.col("s1")))
+                 .when(pres2, F.concat(F.col("_2p"), F.col("s2")))
+                 .otherwise(F.array("top")))
+        parent = F.when(pres1, F.col("b1")).when(pres2, F.col("b2"))
+        placed = placed.unionByName(stage(j.select(*k.columns, (pres1 | pres2).alias("moved"), path.alias("path"),
+                                                   parent.alias("parent")), "level"))
     # A callable base that receives a subscript child becomes a class
     promoted = placed.where(F.col("is_sub") & F.col("parent").isNotNull()) \
                      .select("task_id", F.col("parent").alias("top")).distinct() \
@@ -188,21 +192,46 @@ def nest_nodes(nodes: DataFrame, *, max_levels: int | None = None) -> DataFrame:
                             .otherwise(F.col("type")))
                 .withColumn("path", F.concat("fpath", "sub"))
                 .drop("fpath", "_promote"))
-    return cut_lineage(out)
+    # where a node came into its parent's children: methods with their owner, moved keys later
+    place = F.struct((F.size("sub") > 0).alias("_m"), "korder", "corder")
+    turn = F.when((F.size("path") > 1) & (F.size("sub") == 0), F.struct(
+        F.lit(1).alias("moved"), F.col("korder.grp").alias("grp"), F.col("korder.ord").alias("ord"))).when(
+        F.size("sub") > 0, F.struct(F.lit(0).alias("moved"), F.lit(0).alias("grp"), F.col("corder").alias("ord"))).otherwise(
+        F.struct(F.lit(0).alias("moved"), F.col("korder.grp").alias("grp"), F.col("korder.ord").alias("ord")))
+    rest = [c for c in out.columns if c not in ("task_id", "path")]
+    last = out.withColumn("_turn", turn).groupBy("task_id", "path").agg(
+        F.max_by(F.struct(*rest), F.struct((F.size("sub") == 0).alias("_t"), place.alias("_p"))).alias("_n"),
+        F.min("_turn").alias("turn"))
+    return cut_lineage(last.select("task_id", "path", "_n.*", "turn"))
+
+
+def depth_first(nested: DataFrame) -> DataFrame:
+    """Add ``dfs``: the places of all nodes on the way down, an order key of the rows of a task.
+
+    A container has the place of the first node that was put below it.
+    """
+    steps = nested.select("task_id", "path", "turn", F.explode(F.sequence(F.lit(1), F.size("path"))).alias("n"))
+    steps = steps.withColumn("at", F.slice("path", F.lit(1), F.col("n")))
+    places = steps.groupBy("task_id", "at").agg(F.coalesce(
+        F.min(F.when(F.size("path") == F.size("at"), F.col("turn"))), F.min("turn")).alias("place"))
+    ways = (steps.select("task_id", "path", "n", "at").join(places, ["task_id", "at"])
+                 .groupBy("task_id", "path").agg(F.sort_array(F.collect_list(F.struct("n", "place"))).alias("dfs")))
+    return nested.join(ways, ["task_id", "path"])
 
 
 def attach_schemas(nested: DataFrame) -> DataFrame:
     """Parameter schema per node.  A top-level node gets one when it has a
     type; a nested node only when it has no children; nothing below an
     untyped top-level node.  No signature -> no schema (E6 for constants)."""
+    # every proper prefix of a path has something below it, a container's too
     parents = (nested.where(F.size("path") > 1)
-                     .select("task_id", F.slice("path", F.lit(1), F.size("path") - 1).alias("path"))
+                     .select("task_id", "path", F.explode(F.sequence(F.lit(1), F.size("path") - 1)).alias("_n"))
+                     .select("task_id", F.slice("path", F.lit(1), F.col("_n")).alias("path"))
                      .distinct().withColumn("_has_children", F.lit(True)))
     j = nested.join(parents, ["task_id", "path"], "left")
     root = nested.where(F.size("path") == 1).select(
         "task_id", F.element_at("path", 1).alias("_root"), F.col("resolved").alias("_root_typed"))
     j = j.withColumn("_root", F.element_at("path", 1)).join(root, ["task_id", "_root"], "left")
-    owner_children = F.size("sub") == 0  # owner chains count as children too
     has_children = F.coalesce("_has_children", F.lit(False))
     eligible = F.coalesce("_root_typed", F.lit(False)) & F.col("resolved") & \
         ((F.size("path") == 1) | ~has_children)
@@ -213,12 +242,13 @@ def attach_schemas(nested: DataFrame) -> DataFrame:
 
 def flatten_nodes(schemas: DataFrame) -> DataFrame:
     """One row per node with data (containers give none, B6):
-    ``(task_id, full_name, name, type, signature, value, parameters_json, path, korder, corder)``."""
+    ``(task_id, full_name, name, type, signature, value, parameters_json, resolved, path, dfs)``,
+    in the order of ``dfs`` within a task (depth first, as the maps are walked)."""
     return schemas.select("task_id", F.array_join("path", ".").alias("full_name"), "name", "type",
-                          "signature", "value", "parameters_json", "resolved", "path", "korder", "corder") \
+                          "signature", "value", "parameters_json", "resolved", "path", "dfs") \
                   .where(F.col("name").isNotNull())
 
 
 def build_api_info(task_calls: DataFrame, catalog: DataFrame, **kw) -> DataFrame:
     """D11 + E7 + E8: task call lists to schema rows."""
-    return flatten_nodes(attach_schemas(nest_nodes(build_nodes(task_calls, catalog, **kw))))
+    return flatten_nodes(attach_schemas(depth_first(nest_nodes(build_nodes(task_calls, catalog, **kw)))))

@@ -56,13 +56,21 @@ def extract_stage(tasks: DataFrame, *, patches: dict | None = None, order_col: s
     }
 
 
-def describe_stage(call_lists: DataFrame, catalog: DataFrame, **kw) -> DataFrame:
-    """Stage 2 (D1-D11, B5, E1-E8, B2): schema rows numbered in task / node order."""
+def describe_stage(call_lists: DataFrame, catalog: DataFrame, *, corpus_order: DataFrame | None = None,
+                   **kw) -> DataFrame:
+    """Stage 2 (D1-D11, B5, E1-E8, B2): schema rows numbered task by task, depth first.
+
+    ``corpus_order(task_id, task_no)`` gives the order of the tasks (the corpus file's);
+    without it tasks go by their id.
+    """
     rows = tree.build_api_info(tree.task_calls_with_order(call_lists), catalog, **kw)
-    rows = rows.withColumn("_k1", F.col("korder.grp")).withColumn("_k2", F.col("korder.ord")) \
-               .withColumn("_p", F.array_join("path", "\u0001"))
-    numbered = numbering.assign_id_num(rows, ["task_id", "_k1", "_k2", "corder", "_p"])
-    return numbered.drop("_k1", "_k2", "_p", "korder", "corder")
+    if corpus_order is not None:
+        rows = rows.join(corpus_order.select("task_id", "task_no"), "task_id", "left")
+    else:
+        rows = rows.withColumn("task_no", F.lit(0))
+    rows = cut_lineage(rows)
+    numbered = numbering.assign_id_num(rows, [F.col("task_no").asc_nulls_last(), "task_id", "dfs"])
+    return numbered.drop("task_no", "dfs")
 
 
 def _api_json(schemas: DataFrame, with_type: bool = True) -> F.Column:

@@ -91,7 +91,11 @@ def q_render_generic(spark, sf):
 SELECT l.doc_id, 'user' || ':' || ({sql_fill(P.POSITIVE_TEMPLATE, api=_API_SQL)}) || chr(10) || 'assistant' || ':' ||
        {_sql_lit(P.response_prefix(P.SCHEMA, P.RESPONSE_TEMPLATE))} AS chat,
        'system' || ':' || {_sql_lit(P.SYSTEM_JSON)} || chr(10) || 'user' || ':' ||
-       ({sql_fill(P.POSITIVE_TEMPLATE, api=_API_SQL)}) || chr(10) || {_sql_lit(P.response_prefix(P.SCHEMA, P.RESPONSE_TEMPLATE).split("```json")[0])} AS service_chat
+       ({sql_fill(P.POSITIVE_TEMPLATE, api=_API_SQL)}) || chr(10) || {_sql_lit(P.SCHEMA + P.RESPONSE_TEMPLATE[:P.RESPONSE_TEMPLATE.index("```json")])} AS service_chat,
+       'system' || ':' || {_sql_lit(P.SYSTEM_TEXT)} || chr(10) || 'user' || ':' ||
+       ({sql_fill(P.POSITIVE_TEMPLATE, api=_API_SQL)}) || chr(10) || {_sql_lit(P.TYPE_SCHEMA)} || chr(10) ||
+       replace(replace({_sql_lit(P.TYPE_RESPONSE_TEMPLATE.replace("{{", "{").replace("}}", "}"))}, '{{_MAGIC_SPLITTER_}}', {_sql_lit(P.MAGIC_SPLITTER)}),
+               '{{name}}', 'n' || l.doc_id) AS type_chat
 FROM labels l
 """)
 def q_assemble_chat(spark, sf):
@@ -99,8 +103,11 @@ def q_assemble_chat(spark, sf):
     local = RQ.assemble_chat(r).withColumn("chat", F.array_join(F.transform(
         "messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n")).drop("messages")
     both = RQ.assemble_chat(local, service=True).withColumn("service_chat", F.array_join(F.transform(
-        "messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n"))
-    return both.select("doc_id", "chat", "service_chat")
+        "messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n")).drop("messages")
+    named = both.withColumn("n", F.concat(F.lit("n"), F.col("doc_id").cast("string")))
+    typed = RQ.assemble_chat(named, service=True, json_format=False, name="n").withColumn("type_chat", F.array_join(
+        F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n"))
+    return typed.select("doc_id", "chat", "service_chat", "type_chat")
 
 
 @query("chat_transcript", """
@@ -114,6 +121,12 @@ def q_chat_transcript(spark, sf):
                                  "\n").alias("transcript"))
 
 
+def echo_completion(batch) -> list:
+    """Deterministic stand-in for a model: a JSON answer built from the request key."""
+    return [f'{{"name": "api_{i}", "type": "function", "k": {k}}}'
+            for i, k in zip(batch["id_num"], batch["k"])]
+
+
 @query("complete_samples", """
 WITH schemas AS (SELECT DISTINCT user_id AS id_num, event_type AS task_id FROM events),
 existing AS (SELECT user_id AS id_num, event_type AS task_id, count(*) AS n FROM events WHERE value < 20 GROUP BY ALL)
@@ -124,26 +137,33 @@ FROM schemas s LEFT JOIN existing e USING (id_num, task_id), unnest(range(coales
 def q_complete_samples(spark, sf):
     schemas, existing = _plan_inputs(spark, sf)
     plan = RQ.plan_remaining(schemas, existing, N_SAMPLES)
-    done = CMP.complete(plan, CMP.echo_completion, batch_size=64)
+    done = CMP.complete(plan, echo_completion, batch_size=64)
     done = done.withColumn("completion", CMP.normalize_completion(CMP.cut_at_stop(F.col("completion"))))
     done = done.withColumn("api_name", F.concat(F.lit("api_"), F.col("id_num").cast("string")))
     return CMP.to_samples(done)
 
 
 @query("cut_at_stop", """
-SELECT doc_id, replace(CASE WHEN least(nullif(strpos(text, '. '), 0), nullif(strpos(text, chr(10)), 0)) IS NULL THEN text
+SELECT doc_id, regexp_extract(CASE doc_id % 5 WHEN 0 THEN 'a</s>b' || text WHEN 1 THEN text || '<|endoftext|>z' WHEN 2 THEN 'x' || chr(10) || '```' || chr(10) || text
+                              WHEN 3 THEN 'q<|endofmask|></s>' ELSE text END,
+                              '^(.*?)(<\|endoftext\|>|<\|endofmask\|>|</s>|\n```\n|$)', 1, 's') AS by_default, replace(CASE WHEN least(nullif(strpos(text, '. '), 0), nullif(strpos(text, chr(10)), 0)) IS NULL THEN text
             ELSE substr(text, 1, least(nullif(strpos(text, '. '), 0), nullif(strpos(text, chr(10)), 0)) - 1) END,
             chr(9), '    ') AS cut
 FROM documents
 """)
 def q_cut_at_stop(spark, sf):
     d = table(spark, sf, "documents")
-    return d.select("doc_id", CMP.normalize_completion(CMP.cut_at_stop(F.col("text"), [". ", "\n"])).alias("cut"))
+    answer = (F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("a</s>b"), "text"))
+               .when(F.col("doc_id") % 5 == 1, F.concat("text", F.lit("<|endoftext|>z")))
+               .when(F.col("doc_id") % 5 == 2, F.concat(F.lit("x\n```\n"), "text"))
+               .when(F.col("doc_id") % 5 == 3, F.lit("q<|endofmask|></s>")).otherwise(F.col("text")))
+    return d.select("doc_id", CMP.cut_at_stop(answer).alias("by_default"),
+                    CMP.normalize_completion(CMP.cut_at_stop(F.col("text"), [". ", "\n"])).alias("cut"))
 
 
 _ANSWER_SQL = """CASE event_type
   WHEN 'click' THEN '{"name": "click_' || user_id || '", "signature": "(k=' || (props->>'k') || ')", "k": ' || (props->>'k') || '}'
-  WHEN 'view' THEN '{"short_description": "viewed ' || (props->>'k') || '", "name": null}'
+  WHEN 'view' THEN chr(10) || ' {"short_description": "viewed ' || (props->>'k') || '", "name": null}'
   WHEN 'error' THEN '{bad ' || props
   ELSE props END"""
 
@@ -164,7 +184,7 @@ def q_fan_out(spark, sf):
     ans = (F.when(F.col("event_type") == "click",
                   F.concat(F.lit('{"name": "click_'), F.col("user_id").cast("string"), F.lit('", "signature": "(k='),
                            k, F.lit(')", "k": '), k, F.lit("}")))
-            .when(F.col("event_type") == "view", F.concat(F.lit('{"short_description": "viewed '), k,
+            .when(F.col("event_type") == "view", F.concat(F.lit('\n {"short_description": "viewed '), k,
                                                           F.lit('", "name": null}')))
             .when(F.col("event_type") == "error", F.concat(F.lit("{bad "), F.col("props")))
             .otherwise(F.col("props")))

@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from apiforge.plans.q_requests import echo_completion
 from apiforge.operators import complete as CMP
 from apiforge.plans import flows
 from apiforge.streaming import incremental
@@ -39,7 +40,7 @@ def test_three_stages(spark):
     reqs = flows.request_stage(schemas, out["corpus"], n_samples=3)
     assert reqs.count() == 3 * len(ids)
     assert all("# Given API schema" in r["prompt"] for r in reqs.collect())
-    samples = flows.collect_stage(reqs, CMP.echo_completion)
+    samples = flows.collect_stage(reqs, echo_completion)
     assert samples.count() == 3 * len(ids)
     again = flows.request_stage(schemas, out["corpus"], existing=samples, n_samples=3)
     assert again.count() == 0
@@ -57,12 +58,12 @@ def test_stream_completions(spark):
                                  (F.col("id") % 2).alias("k"), F.lit("api").alias("api_name"))
     reqs.write.parquet(src)
     q = incremental.stream_completions(spark, src, reqs.schema, os.path.join(base, "out"),
-                                       os.path.join(base, "ckpt"), CMP.echo_completion)
+                                       os.path.join(base, "ckpt"), echo_completion)
     q.awaitTermination(120)
     got = incremental.read_samples(spark, os.path.join(base, "out"))
     assert got.count() == 6
     # a second run finds nothing new (the stream checkpoint remembers the files)
     q2 = incremental.stream_completions(spark, src, reqs.schema, os.path.join(base, "out"),
-                                        os.path.join(base, "ckpt"), CMP.echo_completion)
+                                        os.path.join(base, "ckpt"), echo_completion)
     q2.awaitTermination(120)
     assert incremental.read_samples(spark, os.path.join(base, "out")).count() == 6
