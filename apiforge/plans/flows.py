@@ -63,7 +63,11 @@ def describe_stage(call_lists: DataFrame, catalog: DataFrame, *, corpus_order: D
     ``corpus_order(task_id, task_no)`` gives the order of the tasks (the corpus file's);
     without it tasks go by their id.
     """
-    rows = tree.build_api_info(tree.task_calls_with_order(call_lists), catalog, **kw)
+    return number_rows(tree.build_api_info(tree.task_calls_with_order(call_lists), catalog, **kw), corpus_order)
+
+
+def number_rows(rows: DataFrame, corpus_order: DataFrame | None = None) -> DataFrame:
+    """B2 in file order: by task (``corpus_order(task_id, task_no)`` or the id), then depth first."""
     if corpus_order is not None:
         rows = rows.join(corpus_order.select("task_id", "task_no"), "task_id", "left")
     else:

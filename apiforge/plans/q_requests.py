@@ -143,7 +143,7 @@ def q_complete_samples(spark, sf):
     return CMP.to_samples(done)
 
 
-@query("cut_at_stop", """
+@query("cut_at_stop", r"""
 SELECT doc_id, regexp_extract(CASE doc_id % 5 WHEN 0 THEN 'a</s>b' || text WHEN 1 THEN text || '<|endoftext|>z' WHEN 2 THEN 'x' || chr(10) || '```' || chr(10) || text
                               WHEN 3 THEN 'q<|endofmask|></s>' ELSE text END,
                               '^(.*?)(<\|endoftext\|>|<\|endofmask\|>|</s>|\n```\n|$)', 1, 's') AS by_default, replace(CASE WHEN least(nullif(strpos(text, '. '), 0), nullif(strpos(text, chr(10)), 0)) IS NULL THEN text

@@ -6,11 +6,11 @@ import os
 import pytest
 
 import __spark_entry__ as E
+from apiforge.plans.registry import ORACLES, QUERIES
 from oracle import compare, duck
 
 SF = os.environ.get("APIFORGE_TEST_SF", "0.001")
 SF_DIR = f"/root/testdata/sf{SF}"
-ORACLES = E.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -20,14 +20,12 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, con, name):
-    problems, n = compare(spark, SF_DIR, name, E.queries()[name], ORACLES[name], con)
+    problems, n = compare(spark, SF_DIR, name, QUERIES[name], ORACLES[name], con)
     assert not problems, problems
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(ORACLES)))
-def test_query_without_oracle_runs(spark, name):
-    df = E.queries()[name](spark, SF_DIR)
-    assert df.count() >= 0
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
