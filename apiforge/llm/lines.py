@@ -16,7 +16,7 @@ position is a later copy and its lines are deleted.  The union of deleted runs i
 union of the maximal ones.
 
 Only DataFrame functions; line texts are not shuffled, and no key has to fit a task:
-classes are hash aggregates joined back.
+classes are hash aggregates joined back by salted keys.
 
 Defined cases: a null text stays null; an empty text has one empty line; a run that repeats
 itself at once ("x x x") keeps its first period; of repeated rows (same id and text) all
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..operators.numbering import assign_id_num
 from ..session import stage
 
-MIN_WORDS = 50
+MIN_WORDS, SALTS = 50, 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -64,11 +64,17 @@ def line_table(docs: DataFrame, id_col: str, text: str, min_words: int) -> DataF
                      F.max(F.when(F.col("kind") == 0, F.col("_from"))).alias("_from")))
 
 
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined with a table of one row per key; a hot key's rows go to ``SALTS`` tasks."""
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod("pos", F.lit(SALTS)).cast("int")).join(copies, [*keys, "_salt"]).drop("_salt")
+
+
 def named(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``pos, name`` of the rows whose ``keys`` occur twice or more (name: smallest pos)."""
     classes = (rows.groupBy(*keys).agg(F.min("pos").alias("name"), F.count(F.lit(1)).alias("_n"))
                    .filter(F.col("_n") > 1).drop("_n"))
-    return rows.join(classes, keys).select("pos", "name")
+    return salted_join(rows, classes, keys).select("pos", "name")
 
 
 def doubled(names: DataFrame, reach: int) -> DataFrame:
@@ -104,7 +110,7 @@ def later_copies(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
         here = (runs.filter((F.col("m") >= reach) & (F.col("m") < 2 * reach)).join(first, "pos")
                     .withColumn("_p2", F.col("pos") + F.col("m") - reach).join(last, "_p2"))
         origin = here.groupBy("m", "_r1", "_r2").agg(F.min("pos").alias("_origin"))
-        later = (here.join(origin, ["m", "_r1", "_r2"]).filter(F.col("pos") > F.col("_origin"))
+        later = (salted_join(here, origin, ["m", "_r1", "_r2"]).filter(F.col("pos") > F.col("_origin"))
                      .select("_id", "_th", "a", (F.col("a") + F.col("m")).alias("b")))
         copies = later if copies is None else copies.union(later)
         if 2 * reach <= longest:
