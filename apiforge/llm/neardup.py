@@ -8,13 +8,16 @@
    ``ERRORS`` values, so such a pair always shares a key.
 3. A bucket (a key's classes) first compares all its classes with one pivot, so the work is
    linear however large it is.  Links found merge classes into components.  What is
-   left are pairs of *different* components in a bucket of three or more: after a second
-   pivot they are compared each, by signature distance inside the join, so only pairs
-   that may be links come out.  No bucket is capped.
-4. Every candidate is confirmed on the full shingle sets.
+   left are pairs of *different* components in a bucket of three or more, after a second
+   pivot.  These are decided inside the join, so hardly any pair but links comes out: by set
+   sizes, the distance of longer signatures and, for classes that resemble their bucket's pivot (crowds of
+   copies that differ from each other a little too much), exactly: a class is written as what
+   the pivot's set lacks or has too much, and two such differences give the
+   intersection of the two sets.  No bucket is capped.
+4. Every candidate that comes out is confirmed on the full shingle sets.
 
 At similarity s a pair is missed with probability (1 - P(a chunk has at most one
-error)) ** chunks: 2e-6 at 0.85 and 4e-5 at 0.8; the distance test adds under 1e-6.
+error)) ** chunks: 2e-6 at 0.85 and 4e-5 at 0.8; the distance tests add under 2e-6.
 
 Defined cases: a text without words, or null, has an empty set and is linked with
 nothing (its own component); fewer words than a shingle count as one shingle; rows of
@@ -36,12 +39,16 @@ from ..session import ship_package, stage
 from .components import components
 
 HASHES, CHUNK, ERRORS = 24, 4, 1
+LANES = 3
+#: One-bit values of the longer signature that pairs of crowded buckets are tested with, 63 to a long.
+FINE, FINE_LANES = 252, 63
 #: Up to so many ids their list is broadcast to filter texts (8 MB); beyond, joined.
 BROADCAST_IDS = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.RandomState(10)
-_MULTIPLY = (_RNG.randint(0, 2 ** 62, HASHES).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
-_ADD = _RNG.randint(0, 2 ** 62, HASHES).astype(np.uint64)
+_MULTIPLY, _FINE_MULTIPLY = ((_RNG.randint(0, 2 ** 62, n).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
+                             for n in (HASHES, FINE))
+_ADD, _FINE_ADD = (_RNG.randint(0, 2 ** 62, n).astype(np.uint64) for n in (HASHES, FINE))
 
 
 class WordHashes(dict):
@@ -77,13 +84,26 @@ def shingles(words: list[bytes], width: int) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(hashes: np.ndarray) -> bytes:
-    """b-bit MinHash values: 16 bits of the smallest of every multiply-add hash."""
-    best = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+def _packed(hashes: np.ndarray, multiply: np.ndarray, add: np.ndarray, bits: int, lanes: int) -> np.ndarray:
+    """MinHash values of ``bits`` bits (of the smallest of every multiply-add hash), ``lanes`` to a long."""
+    best = np.full(len(multiply), np.iinfo(np.uint64).max, np.uint64)
     for a in range(0, len(hashes), 16_384):
-        best = np.minimum(best, (hashes[a:a + 16_384, None] * _MULTIPLY + _ADD).min(0))
-    best = (best ^ (best >> np.uint64(31))) * _ODD
-    return (best >> np.uint64(48)).astype(">u2").tobytes()
+        best = np.minimum(best, (hashes[a:a + 16_384, None] * multiply + add).min(0))
+    best = (((best ^ (best >> np.uint64(31))) * _ODD) >> np.uint64(64 - bits)).astype(np.int64).reshape(-1, lanes)
+    return sum(best[:, k] << (bits * k) for k in range(lanes))
+
+
+def signature(hashes: np.ndarray) -> np.ndarray:
+    return _packed(hashes, _MULTIPLY, _ADD, 16, LANES)
+
+
+def fine_signature(hashes: np.ndarray) -> np.ndarray:
+    return _packed(hashes, _FINE_MULTIPLY, _FINE_ADD, 1, FINE_LANES)
+
+
+def value(sig, i: int):
+    """The ``i``-th value of a signature column."""
+    return F.shiftright(F.get(sig, i // LANES), 16 * (i % LANES)).bitwiseAND(0xFFFF)
 
 
 def signed(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
@@ -98,37 +118,50 @@ def signed(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
                 n.append(len(s))
                 sigs.append(signature(s) if w else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(sigs, pa.binary())],
+                [b.column(0), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))],
                 names=["doc_id", "_key", "n_shingles", "_sig"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(
-        sign, "doc_id long, _key binary, n_shingles long, _sig binary")
+        sign, "doc_id long, _key binary, n_shingles long, _sig array<long>")
 
 
 def sets(docs: DataFrame, ids: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """``id, _set``: the full shingle sets of the documents in ``ids`` (one row each)."""
+    """``id, _set, _fine``: full shingle sets and longer signatures of the documents in ``ids`` (one row each)."""
+    longs = pa.list_(pa.int64())
+
     def build(batches):
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = shingles(word_list(t), width).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([s], pa.list_(pa.int64()))],
-                                                 names=["id", "_set"])
+                s = shingles(word_list(t), width)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i], pa.int64()), pa.array([s.view(np.int64)], longs), pa.array([fine_signature(s)], longs)],
+                    names=["id", "_set", "_fine"])
 
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).join(wanted, "id", "left_semi")
-    return rows.mapInArrow(build, "id long, _set array<long>").dropDuplicates(["id"])
+    return rows.mapInArrow(build, "id long, _set array<long>, _fine array<long>").dropDuplicates(["id"])
 
 
 def distance(a, b):
-    """Number of differing values of two signatures."""
-    return sum((F.substring(a, 2 * i + 1, 2) != F.substring(b, 2 * i + 1, 2)).cast("int") for i in range(HASHES))
+    """Number of differing values of two signatures, all values of a long at once."""
+    low, top = 0x7FFF7FFF7FFF, 0x800080008000
+    out = F.lit(0)
+    for j in range(HASHES // LANES):
+        z = F.get(a, j).bitwiseXOR(F.get(b, j))
+        # adding all low bits carries into a value's top bit unless its low bits are 0
+        out = out + F.bit_count((z.bitwiseAND(low) + low).bitwiseOR(z).bitwiseAND(top))
+    return out
+
 
+def fine_distance(a, b):
+    return sum(F.bit_count(F.get(a, j).bitwiseXOR(F.get(b, j))) for j in range(FINE // FINE_LANES))
 
-def farthest(similarity: float, miss: float = 1e-6) -> int:
+
+def farthest(similarity: float, values: int = HASHES, bits: int = 16, miss: float = 1e-6) -> int:
     """Largest distance a pair of ``similarity`` has but with probability ``miss``."""
-    q, tail = 1 - similarity, 0.0
-    for d in range(HASHES, -1, -1):
-        tail += comb(HASHES, d) * q ** d * (1 - q) ** (HASHES - d)
+    q, tail = (1 - similarity) * (1 - 0.5 ** bits), 0.0
+    for d in range(values, -1, -1):
+        tail += comb(values, d) * q ** d * (1 - q) ** (values - d)
         if tail > miss:
             return d
     return 0
@@ -139,7 +172,7 @@ def bucket_rows(classes: DataFrame) -> DataFrame:
     keys = []
     for c in range(0, HASHES, CHUNK):
         for out in range(c, c + CHUNK):
-            kept = [F.substring("_sig", 2 * i + 1, 2) for i in range(c, c + CHUNK) if i != out]
+            kept = [value("_sig", i) for i in range(c, c + CHUNK) if i != out]
             keys.append(F.xxhash64(F.lit(out), *kept))
     return classes.select(F.explode(F.array(*keys)).alias("key"), "id")
 
@@ -149,22 +182,44 @@ class _Links:
 
     def __init__(self, docs, classes, id_col, text, width, num, den):
         self.docs, self.sigs, self.how = docs, classes.select("id", "_sig"), (id_col, text, width)
-        self.num, self.den, self.far = num, den, farthest(num / den)
+        self.num, self.den = num, den
+        self.far, self.fine_far = farthest(num / den), farthest(num / den, FINE, 1)
 
     def near(self, pairs: DataFrame) -> DataFrame:
         a = self.sigs.select(F.col("id").alias("a"), F.col("_sig").alias("_sa"))
         b = self.sigs.select(F.col("id").alias("b"), F.col("_sig").alias("_sb"))
         return (pairs.join(a, "a").join(b, "b").filter(distance("_sa", "_sb") <= self.far).select("a", "b"))
 
+    def sets(self, ids: DataFrame) -> DataFrame:
+        return stage(sets(self.docs, stage(ids.distinct(), "ids"), *self.how), "sets")
+
+    def alike(self, common, one, other):
+        """Whether sets of these sizes with ``common`` members in common are linked."""
+        return self.den * common >= self.num * (one + other - common)
+
+    def differences(self, members: DataFrame) -> DataFrame:
+        """``id, _p, _n, _np, _d, _minus, _plus``: sets of ``members(id, _p)`` as differences from their
+        pivot's set (null where these are longer than the pivot's set), both sizes and the Jaccard distance."""
+        pairs = stage(members.select("id", "_p").distinct(), "members-of")
+        full = self.sets(pairs.select("id").union(pairs.select(F.col("_p").alias("id"))))
+        both = (pairs.join(full, "id")
+                     .join(full.select(F.col("id").alias("_p"), F.col("_set").alias("_of")), "_p"))
+        minus, plus = F.array_except("_of", "_set"), F.array_except("_set", "_of")
+        both = both.select("id", "_p", "_fine", F.size("_set").alias("_n"), F.size("_of").alias("_np"),
+                           minus.alias("_minus"), plus.alias("_plus"))
+        short = F.size("_minus") + F.size("_plus") <= F.col("_np")
+        apart = (F.size("_minus") + F.size("_plus")) / (F.col("_np") + F.size("_plus"))
+        return stage(both.select("id", "_p", "_fine", "_n", "_np", apart.alias("_d"), *(F.when(short, F.col(c)).alias(c) for c in ("_minus", "_plus"))),
+                     "differences")
+
     def confirm(self, pairs: DataFrame) -> DataFrame:
         pairs = stage(pairs, "candidates")
-        ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-        full = stage(sets(self.docs, ids, *self.how), "sets")
+        ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct())
+        full = self.sets(ids)
         both = (pairs.join(full.select(F.col("id").alias("a"), F.col("_set").alias("_x")), "a")
                      .join(full.select(F.col("id").alias("b"), F.col("_set").alias("_y")), "b"))
         both = both.withColumn("_n", F.size(F.array_intersect("_x", "_y")))
-        union = F.size("_x") + F.size("_y") - F.col("_n")
-        return stage(both.filter(self.den * F.col("_n") >= self.num * union).select("a", "b"), "confirmed")
+        return stage(both.filter(self.alike(F.col("_n"), F.size("_x"), F.size("_y"))).select("a", "b"), "confirmed")
 
 
 def links(docs: DataFrame, classes: DataFrame, *, id_col: str, text: str, width: int, num: int, den: int) -> DataFrame:
@@ -192,12 +247,25 @@ def links(docs: DataFrame, classes: DataFrame, *, id_col: str, text: str, width:
                 F.least("id", "_q").alias("a"), F.greatest("id", "_q").alias("b"))
             more = test.near(pairs.distinct())
         else:                                              # the rest: every pair across components
-            opened = stage(opened.filter((F.col("id") != F.col("_p")) & (F.col("id") != F.col("_q")))
-                                 .join(test.sigs, "id"), "open-signed")
-            x = opened.select("key", F.col("id").alias("a"), F.col("_c").alias("_ca"), F.col("_sig").alias("_sa"))
-            y = opened.select("key", F.col("id").alias("b"), F.col("_c").alias("_cb"), F.col("_sig").alias("_sb"))
-            more = (x.join(y, (x["key"] == y["key"]) & (F.col("_ca") < F.col("_cb"))
-                           & (distance("_sa", "_sb") <= test.far))
+            # the differences are taken from a class of the bucket's largest component
+            central = (opened.groupBy("key", "_c").agg(F.count(F.lit(1)).alias("_k"), F.min("id").alias("_i"))
+                             .groupBy("key").agg(F.max(F.struct("_k", "_i"))["_i"].alias("_p")))
+            opened = stage(opened.filter(F.col("id") != F.col("_p")).select("key", "id", "_c").join(central, "key"), "rest")
+            opened = opened.join(test.differences(opened), ["id", "_p"])
+            side = ["_c", "_n", "_np", "_d", "_minus", "_plus", "_fine"]
+            x = opened.select("key", F.col("id").alias("a"), *(F.col(c).alias(c + "a") for c in side))
+            y = opened.select("key", F.col("id").alias("b"), *(F.col(c).alias(c + "b") for c in side))
+            sizes = F.col("_na"), F.col("_nb")
+            known = F.col("_minusa").isNotNull() & F.col("_minusb").isNotNull()
+            most = (F.col("_npa") - F.greatest(F.size("_minusa"), F.size("_minusb"))
+                    + F.least(F.size("_plusa"), F.size("_plusb")))
+            common = (F.col("_npa") - F.size(F.array_union("_minusa", "_minusb"))
+                      + F.size(F.array_intersect("_plusa", "_plusb")))
+            # cheap bounds first; the exact test is a function of its own, which keeps the others' code small
+            may = (test.alike(F.least(*sizes), *sizes) & (F.abs(F.col("_da") - F.col("_db")) <= 1 - num / den + 1e-9)
+                   & (~known | test.alike(most, *sizes)) & (fine_distance("_finea", "_fineb") <= test.fine_far)
+                   & (~known | F.exists(F.array(F.lit(True)), lambda t: t & test.alike(common, *sizes))))
+            more = (x.join(y, (x["key"] == y["key"]) & (F.col("_ca") < F.col("_cb")) & may)
                      .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         found = stage(found.union(test.confirm(more)), "found")
     return found
