@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package, stage
+from .caches import only
 from .components import components
 
 HASHES, CHUNK, ERRORS = 24, 4, 1
@@ -63,9 +64,6 @@ class WordHashes(dict):
         return h
 
 
-_HASHES = WordHashes()
-
-
 def word_list(text: str | None) -> list[bytes]:
     """Words of the text, A-Z lowered (bytes.lower and bytes.split touch ASCII only)."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -75,7 +73,8 @@ def shingles(words: list[bytes], width: int) -> np.ndarray:
     """Sorted distinct hashes of the word shingles."""
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.frombuffer(b"".join(map(_HASHES.__getitem__, words)), np.uint64)
+    known = only("word hashes", WordHashes)
+    h = np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint64)
     k = min(width, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):                    # polynomial in the words, mixed after each

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .caches import only
 
 BUCKETS, DIM, NONZERO, WINDOW = 8_192, 32, 4, 2
 MAX_TRAIN, HIDDEN, EPOCHS, SEED = 20_000, 32, 40, 17
@@ -63,11 +64,8 @@ class Words(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, (text or "").split())), np.int32)
 
 
-_WORDS: dict[int, Words] = {}
-
-
 def _words(buckets: int) -> Words:
-    return _WORDS.setdefault(buckets, Words(buckets))
+    return only(("words", buckets), lambda: Words(buckets))
 
 
 def index_vectors(buckets: int = BUCKETS, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:

@@ -14,6 +14,8 @@ import json
 import os
 import re
 
+from .caches import only
+
 #: Characters that no Unicode version counts as white space.
 GRAPHIC = "!-~¡-ɏͰ-ӿ԰-׿ؠ-ي‐-‧一-鿿가-힣"
 _CLEAN = re.compile(f"[{GRAPHIC}](?:.*[{GRAPHIC}])?", re.S).fullmatch
@@ -126,13 +128,6 @@ class Coder(dict):
         return [self.of(first), *map(self.__getitem__, rest[:-1]), *(self.of(" " + x) for x in rest[-1:])]
 
 
-_CODERS: dict = {}
-
-
 def coder(name: str, kind: str, value, key=None, fixed=None) -> Coder:
     """The coder of this worker process for (tokenizer, kind, broadcast)."""
-    at = (name, kind, key)
-    if at not in _CODERS:
-        _CODERS.clear()          # one tokenizer at a time keeps workers small
-        _CODERS[at] = Coder(name, value, fixed() if fixed else None)
-    return _CODERS[at]
+    return only((name, kind, key), lambda: Coder(name, value, fixed() if fixed else None))
