@@ -5,8 +5,10 @@ Base rules are counts over the whole text.  Documents that pass are judged by
 the runs of letters, digits and signs and their neighbours in pairs, hashed into
 ``buckets``; p_raw is the multinomial of all documents, p_target that of trusted ones.
 Log ratios are rounded to 1/1000, so sums are integers and every document gets the
-same verdict in every run.  Only DataFrame functions; the text is never shuffled
-(counts are combined map-side into ``buckets`` numbers).
+same verdict in every run.  Only DataFrame functions; counts are combined map-side into
+``buckets`` numbers.  Trusted documents are all that the labels trust, found by a join on
+the id.  That join shuffles the text once, by the same plan at every size (a hash join
+of ids: texts are not sorted).
 
 Defined cases: a null or empty text has no words and fails the base rules; with
 no trusted document the ratios are 0 and the base rules alone decide; repeated
@@ -24,7 +26,7 @@ GRAM = r"[\p{L}]+|[\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]+"
 BUCKETS, SMOOTHING, SCALE = 16_384, 1.0, 1_000
 #: A document is kept if its mean ratio (times SCALE) is at least this.
 THRESHOLD = -150
-MAX_TRUSTED, WINDOW = 20_000, 8
+WINDOW = 8
 
 
 def words(text: Column) -> Column:
@@ -94,22 +96,22 @@ def log_ratios(target: list[int], raw: list[int], smoothing: float = SMOOTHING,
     return [round(scale * (log(a + smoothing) - log(b + smoothing) + base)) for a, b in zip(target, raw)]
 
 
-def trusted_ids(labels: DataFrame, id_col: str = "doc_id", most: int = MAX_TRUSTED) -> DataFrame:
-    """At most ``most`` ids (smallest hashes) with quality 1 that are not toxic."""
+def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """All ids with quality 1 that are not toxic."""
     return (labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
                           & F.col(id_col).isNotNull())
-                  .select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(most))
+                  .select(F.col(id_col).alias("_id")).distinct())
 
 
 def judge(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text: str = "text",
           buckets: int = BUCKETS, threshold: int = THRESHOLD, scale: int = SCALE) -> DataFrame:
     """Per row: id, the base counts, base_failed, kept, and the ratio (``llr``, null without grams).
 
-    ``trusted`` holds ids in ``_id``; its size is the caller's bound (``trusted_ids``).
+    ``trusted`` holds ids in ``_id``, as many as there are (``trusted_ids``).
     """
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     raw = bucket_counts(rows.select("_text"), buckets)
-    target = bucket_counts(rows.join(F.broadcast(trusted), rows[id_col] == F.col("_id"), "left_semi")
+    target = bucket_counts(rows.join(trusted.hint("shuffle_hash"), rows[id_col] == F.col("_id"), "left_semi")
                                .select("_text"), buckets)
     ratios = log_ratios(target, raw, scale=scale)
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<int>")   # folded to a constant

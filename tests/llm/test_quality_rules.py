@@ -126,6 +126,14 @@ def test_rules_keep_clean_documents(given):
     assert judged[judged.quality == 1].kept.mean() > 0.99 and judged[judged.quality == 0].kept.mean() < 0.1
 
 
+def test_rules_trust_all_labelled_documents(spark):
+    labels = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    docs = labels.select("doc_id", F.when(F.col("doc_id") % 30 > 0, "a b").otherwise("c d").alias("text"))
+    trusted = rules.trusted_ids(labels)
+    assert trusted.count() == 30_000
+    assert {r.llr for r in rules.judge(docs, trusted).select("llr").distinct().collect()} == {0.0}   # target and raw alike
+
+
 def test_rules_without_trusted_or_rows(spark, docs, no_docs):
     none = spark.createDataFrame([], "_id long")
     assert all(r.kept != r.base_failed for r in rules.judge(docs, none).collect())
