@@ -2,25 +2,28 @@
 
 1. Every page is parsed into elements (tolerant of what is left open).  An element's place in
    the site's style tree is its path of tags with classes; merging the pages of a host by
-   these paths gives the tree, one node per (host, path).
+   these paths gives the tree, one node per (host, path).  Pages of a host that are alike in
+   all blocks and child sequences are copies and enter the tree once.
 2. A node's presentation importance is the entropy (base: pages of the node) of the
    child sequences that its pages show; its content importance is one minus the
    mean, over its text blocks, of the share of a block's spread over the pages (log of
    the pages that show the very block, base: pages of the node).  Layout that is
    always alike and text that is always the same have low importance.
 3. Branches below ``THRESHOLD`` on hosts with ``MIN_PAGES`` pages of the node are removed
-   from each page, with what their tags, roles or class names mark as menu, header,
-   footer, sidebar, notice, advert, form, script, style or comment.
-4. If the page marks an article (or a main part), only that is read.
-
-The statistics are hash aggregates per (host, path, feature), so a hot host is summed
-map-side.  The table of unimportant paths has a row per host; it is broadcast up to
+   from each page, up to a marked article or main part inside them, with what their tags,
+   roles or class names mark as menu, header, footer, sidebar, notice, advert, form,
+   script, style or comment.
+4. If the page marks an article (or a main part), only that is read; importance removes
+   nothing in there.
+
+The statistics are hash aggregates per (host, path, feature) over distinct pages, dealt by
+all of these, so a hot host is spread.  The table of unimportant paths has a row per host; it is broadcast up to
 ``BROADCAST_HOSTS`` rows and joined on the host beyond.
 
 Defined cases: null or empty html gives an empty text; markup without any article,
 main or body is read as a whole; tags that are never closed end with their parent or
-the page; a url without host (or null) is a site of its own name; repeated rows count
-each; an empty table gives an empty result; other columns are not read.
+the page; a url without host (or null) is a site of its own name; repeated rows each get
+their text and count once; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -97,7 +100,7 @@ class Page:
         self.blocks: list[tuple[str, int, int]] = []                # text, style path, region
         self.children: dict[int, list[int]] = {}
         self.regions: set[int] = set()                              # 2: article, 1: main
-        self._open: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]   # tag, path, noise, region
+        self._open: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]   # tag, path, noise (1: by style, 2: marked), region
         self._tags: Counter = Counter()                             # of what is open
         self._text: list[str] = []
         self._unimportant = unimportant
@@ -150,7 +153,6 @@ class Page:
         attrs = attributes(raw)
         style = tag + "." + ".".join(sorted(attrs.get("class", "").lower().split()))
         path = xxhash.xxh64_intdigest(f"{above[1]}/{style}") - (1 << 63)
-        noise = above[2] or marked_noise(tag, attrs, above[3] == 2) or path in self._unimportant
         if not above[2]:
             seen = self.children.setdefault(above[1], [])
             if not seen or seen[-1] != path:            # a run of like children is one
@@ -160,6 +162,10 @@ class Page:
             region = 2
         elif region == 0 and (tag == "main" or attrs.get("role") == "main"):
             region = 1
+        if above[2] == 2 or marked_noise(tag, attrs, above[3] == 2):
+            noise = 2
+        else:
+            noise = int(not region and (above[2] == 1 or path in self._unimportant))
         if not noise and region:
             self.regions.add(region)
         self._open.append((tag, path, noise, region))
@@ -206,14 +212,17 @@ def host(url):
 
 
 def features(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """``_host, node, kind, feature``, once per page: child sequences (kind 0) and text blocks (1)."""
+    """``_host, node, kind, feature``, once per page: child sequences (kind 0) and text blocks (1);
+    ``page`` is a hash of all of the page's features."""
     def parse(batches):
         for b in batches:
-            at, node, kind, feature = [], [], [], []
+            at, node, kind, feature, page = [], [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 p = Page(t or "")
                 rows = {(n, 0, xxhash.xxh64_intdigest(repr(c)) - (1 << 63)) for n, c in p.children.items()}
                 rows |= {(path, 1, xxhash.xxh64_intdigest(s) - (1 << 63)) for s, path, _ in p.blocks}
+                whole = xxhash.xxh64_intdigest(repr(sorted(rows))) - (1 << 63)
+                page += [whole] * len(rows)
                 for n, k, f in rows:
                     at.append(i)
                     node.append(n)
@@ -221,16 +230,18 @@ def features(pages: DataFrame, url: str, html: str) -> DataFrame:
                     feature.append(f)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(at, pa.int64())), pa.array(node, pa.int64()), pa.array(kind, pa.int8()),
-                 pa.array(feature, pa.int64())], names=["_host", "node", "kind", "feature"])
+                 pa.array(feature, pa.int64()), pa.array(page, pa.int64())],
+                names=["_host", "node", "kind", "feature", "page"])
 
     return pages.select(F.xxhash64(host(F.col(url))).alias("_host"), F.col(html).alias("h")).mapInArrow(
-        parse, "_host long, node long, kind byte, feature long")
+        parse, "_host long, node long, kind byte, feature long, page long")
 
 
 def unimportant(pages: DataFrame, *, url: str = "url", html: str = "html", threshold: float = THRESHOLD,
                 min_pages: int = MIN_PAGES) -> DataFrame:
     """``_host, _nodes``: per host the paths whose composite importance is below ``threshold``."""
-    counts = features(pages, url, html).groupBy("_host", "node", "kind", "feature").agg(F.count(F.lit(1)).alias("k"))
+    counts = (features(pages, url, html).distinct()                 # copies of a page count once
+              .groupBy("_host", "node", "kind", "feature").agg(F.count(F.lit(1)).alias("k")))
     # sum and sum of k log k are all that both entropies need
     sums = counts.groupBy("_host", "node").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("k"))).alias("m0"),

@@ -97,3 +97,19 @@ def test_style_tree_removes_what_a_site_repeats(spark):
             assert r.text.startswith("Our shop\n\nAll offers\n\nw")       # too few pages to tell
     assert {r.page_id: r.text for r in got if r.page_id >= 100} == {100: "", 101: "t"}
     assert pages.main_text(df.limit(0)).collect() == []
+
+
+def test_style_tree_keeps_articles_that_are_copied(spark):
+    rnd = random.Random(2)
+    word = lambda: "w" + str(rnd.randint(0, 10 ** 6))
+    unmarked = lambda p: f"<body><div class=x9>All offers</div><div class=k2><p>{p}</p></div></body>"
+    marked = lambda i, p: f"<body><div class=w>Welcome<article><h2>In brief</h2><p>{p} {i}</p></article></div></body>"
+    rows = [(f"http://copies.example/{i}", unmarked("the one article")) for i in range(10)]
+    rows += [(f"http://most.example/{i}", unmarked("copied article" if i < 85 else f"own {word()} {i}")) for i in range(100)]
+    rows += [(f"http://marked.example/{i}", marked(i, word())) for i in range(20)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.main_text(df).collect()}
+    assert {got[i] for i in range(10)} == {"All offers\n\nthe one article"}        # one page tells nothing of the site
+    assert {got[i] for i in range(10, 95)} == {"copied article"}
+    assert all(got[i].startswith("own w") for i in range(95, 110))
+    assert all(got[i].startswith("In brief\n\nw") for i in range(110, 130))
