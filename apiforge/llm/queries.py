@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import lines, mixing, neardup, packing, pages, quality, rules, shards, token_counts, topk
+from . import (lines, mixing, neardup, packing, pages, quality, repeats, rules, shards, token_counts, topk, trie,
+               variants)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +127,92 @@ def op2(spark, sf):
 @query("op1_site_style_tree")
 def op1(spark, sf):
     return pages.main_text(read_table(spark, sf, "pages"))
+
+
+#: CRC-32 of the bytes of a text: the table by its rule, then a step a byte.
+CRC_TABLE = """SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+  CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS tab"""
+
+
+def crc_sql(text: str) -> str:
+    """CRC-32 of an SQL text; ``tab`` of ``CRC_TABLE`` in scope."""
+    return f"""xor(list_reduce(list_transform(range(len(hex(encode({text}))) // 2),
+      lambda j: ('0x' || substr(hex(encode({text})), (2 * j + 1)::INT, 2))::BIGINT),
+      lambda c, b: xor(c // 256, tab[(xor(c, b) % 256 + 1)::INT]), 4294967295::BIGINT), 4294967295::BIGINT)"""
+
+
+#: Every prefix of every rebuilt conversation, grouped; figures of a subtree by its nodes' ancestors.
+TRIE_SQL = rf"""
+WITH tab AS ({CRC_TABLE}),
+t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (
+        PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k
+      FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT conv_id, {crc_sql("conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t), tab),
+b AS (SELECT h.conv_id, k, r, x FROM h JOIN t ON t.conv_id = h.conv_id - h.conv_id % 20 AND k <= h
+      UNION ALL SELECT conv_id, k, r, x FROM h JOIN t USING (conv_id) WHERE k > h),
+s AS (SELECT conv_id, coalesce(seq, []) AS seq FROM h LEFT JOIN
+        (SELECT conv_id, list([r, x] ORDER BY k) AS seq FROM b GROUP BY 1) USING (conv_id)),
+p AS (SELECT conv_id, d, len(seq) = d AS ends, md5(seq[1:d]::VARCHAR || d) AS k, CASE WHEN d > 0 THEN md5(seq[1:d - 1]::VARCHAR || (d - 1)) END AS up,
+             CASE WHEN d > 0 THEN len(regexp_extract_all(seq[d][2], '[^\x20\x09-\x0D]+')) ELSE 0 END AS w
+      FROM (SELECT conv_id, seq, unnest(range(len(seq) + 1)) AS d FROM s)),
+n AS (SELECT k, d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM p GROUP BY 1, 2),
+c AS (SELECT up AS k, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY 1),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (k)),
+a AS (SELECT p.k, sum((f.n_children = 0)::INT) AS n_leaves, sum((f.n_convs - 1) * f.w) AS saved
+      FROM f JOIN p ON p.conv_id = f.conv_id AND p.d <= f.d GROUP BY 1)
+SELECT f.conv_id, f.d AS depth, o.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children,
+       n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, f.ends_sha256
+FROM f JOIN a USING (k) LEFT JOIN n o ON o.k = f.up
+"""
+
+
+@query("op11_prefix_trie", TRIE_SQL)
+def op11(spark, sf):
+    return trie.prefix_trie(read_table(spark, sf, "conversations"))
+
+
+#: All windows as text, counted.
+REPEATS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+w AS (SELECT rid, s, md5(array_to_string(ws[s:s + 34], ' ')) AS k FROM (SELECT rid, ws, unnest(range(1, len(ws) - 33)) AS s FROM d)),
+r AS (SELECT rid, s FROM w QUALIFY count(*) OVER (PARTITION BY k) > 1),
+g AS (SELECT DISTINCT rid, unnest(range(s, s + 35)) AS i FROM r),
+o AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+k AS (SELECT o.rid, string_agg(word, ' ' ORDER BY o.i) AS kept, count(*) AS n FROM o LEFT JOIN g ON g.rid = o.rid AND g.i = o.i
+      WHERE g.i IS NULL GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.rid = d.rid
+"""
+
+
+@query("op12_substring_dedup", REPEATS_SQL)
+def op12(spark, sf):
+    return repeats.without_repeats(read_table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
+
+
+#: Near words by their common texts with one code point left out, or replaced at a place.
+VARIANTS_SQL = rf"""
+WITH RECURSIVE tab AS ({CRC_TABLE}),
+r AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+      FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 6 GROUP BY 1, 2),
+h AS (SELECT run, n, {crc_sql("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM r, tab),
+s AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run) + 2)::INT) ELSE run END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM s WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+x AS (SELECT DISTINCT word, n, i, left(word, (i - 1)::INT) AS a, substr(word, (i + 1)::INT) AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+e AS (SELECT p.word, q.word AS near, q.n AS near_n FROM x p JOIN x q ON p.a = q.a AND p.b = q.b AND p.word <> q.word
+      UNION SELECT p.word, v.word, v.n FROM x p JOIN v ON v.word = p.a || p.b
+      UNION SELECT v.word, p.word, p.n FROM x p JOIN v ON v.word = p.a || p.b),
+m AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, encode(near)) AS near, max(near_n) AS near_n FROM e GROUP BY 1),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form,
+             CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM v LEFT JOIN m ON m.word = v.word),
+w(word, root, form) AS (SELECT word, word, form FROM f
+      UNION ALL SELECT w.word, f.word, f.form FROM w JOIN f ON f.word = w.form)
+SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n FROM f JOIN w ON w.word = f.word AND w.form IS NULL
+"""
+
+
+@query("op13_spelling_variants", VARIANTS_SQL)
+def op13(spark, sf):
+    return variants.variants(read_table(spark, sf, "documents"))
