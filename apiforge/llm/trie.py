@@ -14,7 +14,7 @@
 
 A first turn, or a whole conversation, that a third of all rows share costs no more than any other: its
 rows lie in many blocks.  A conversation's digests (24 bytes a turn) must fit a task, and a block holds
-``LEAST_BLOCK`` conversations (more beyond 2^32 of them).  The ids of conversations that are equal
+``LEAST_BLOCK`` conversations (more beyond 2^29 of them).  The ids of conversations that are equal
 throughout pass, a thousand to a row, through one streaming hash, as SHA-256 asks for.
 
 Defined cases: turns sort by number, nulls first, ties by digest; a null role or text is empty; rows
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ..operators.numbering import assign_id_num
 from ..session import ship_package, stage
 
-LEAST_BLOCK, MOST_BLOCKS, IDS_A_ROW = 4096, 1 << 20, 1000
+LEAST_BLOCK, MOST_BLOCKS, IDS_A_ROW = 512, 1 << 20, 1000
 WORD = r"[^\x20\x09-\x0D]+"
 _EMPTY = hashlib.sha256(b"").hexdigest()
 #: What a block says: its nodes, prefixes open to the right, prefixes it shares with the block before, ids that go
