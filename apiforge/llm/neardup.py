@@ -19,10 +19,14 @@
 At similarity s a pair is missed with probability (1 - P(a chunk has at most one
 error)) ** chunks: 2e-6 at 0.85 and 4e-5 at 0.8; the distance tests add under 2e-6.
 
+Classes, not ids, are what is linked: texts of equal word sequences share a number of their own, so several
+texts of one id are several documents, whatever the order of the rows.
+
 Defined cases: a text without words, or null, has an empty set and is linked with
-nothing (its own component); fewer words than a shingle count as one shingle; rows of
-one id are one document, rows without id are not linked, have no component and
-are kept; an empty table gives an empty result; other columns are not read.
+nothing (its own component); fewer words than a shingle count as one shingle; every row is a
+document: rows of one id are linked only by their texts, and each gets the smallest id that its own text
+reaches; rows without id are not linked, have no component and are kept; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -69,6 +73,11 @@ def word_list(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def _sequence(words: list[bytes]) -> bytes | None:
+    """16 bytes that stand for a word sequence (none: null)."""
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None
+
+
 def shingles(words: list[bytes], width: int) -> np.ndarray:
     """Sorted distinct hashes of the word shingles."""
     if not words:
@@ -113,7 +122,7 @@ def signed(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
             for t in b.column(1).to_pylist():
                 w = word_list(t)
                 s = shingles(w, width)
-                keys.append(hashlib.blake2b(b" ".join(w), digest_size=16).digest() if w else None)
+                keys.append(_sequence(w))
                 n.append(len(s))
                 sigs.append(signature(s) if w else None)
             yield pa.RecordBatch.from_arrays(
@@ -124,21 +133,26 @@ def signed(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
         sign, "doc_id long, _key binary, n_shingles long, _sig array<long>")
 
 
-def sets(docs: DataFrame, ids: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """``id, _set, _fine``: full shingle sets and longer signatures of the documents in ``ids`` (one row each)."""
+def sets(docs: DataFrame, ids: DataFrame, classes: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
+    """``id, _set, _fine``: full shingle sets and longer signatures of the ``classes(id, _doc, _key)`` in ``ids`` (one
+    row each), from the texts of the documents ``_doc`` whose words are those of ``_key``."""
     longs = pa.list_(pa.int64())
 
     def build(batches):
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = shingles(word_list(t), width)
+                w = word_list(t)
+                s = shingles(w, width)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i], pa.int64()), pa.array([s.view(np.int64)], longs), pa.array([fine_signature(s)], longs)],
-                    names=["id", "_set", "_fine"])
+                    [pa.array([i], pa.int64()), pa.array([_sequence(w)], pa.binary()), pa.array([s.view(np.int64)], longs),
+                     pa.array([fine_signature(s)], longs)], names=["_doc", "_key", "_set", "_fine"])
 
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).join(wanted, "id", "left_semi")
-    return rows.mapInArrow(build, "id long, _set array<long>, _fine array<long>").dropDuplicates(["id"])
+    wanted = classes.join(ids, "id", "left_semi").select("id", "_doc", "_key")
+    if ids.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    rows = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text).alias("t")).join(wanted, "_doc", "left_semi")
+    built = rows.mapInArrow(build, "_doc long, _key binary, _set array<long>, _fine array<long>")
+    return built.join(wanted, ["_doc", "_key"]).select("id", "_set", "_fine").dropDuplicates(["id"])
 
 
 def distance(a, b):
@@ -181,6 +195,7 @@ class _Links:
 
     def __init__(self, docs, classes, id_col, text, width, num, den):
         self.docs, self.sigs, self.how = docs, classes.select("id", "_sig"), (id_col, text, width)
+        self.classes = classes.select("id", "_doc", "_key")
         self.num, self.den = num, den
         self.far, self.fine_far = farthest(num / den), farthest(num / den, FINE, 1)
 
@@ -190,7 +205,7 @@ class _Links:
         return (pairs.join(a, "a").join(b, "b").filter(distance("_sa", "_sb") <= self.far).select("a", "b"))
 
     def sets(self, ids: DataFrame) -> DataFrame:
-        return stage(sets(self.docs, stage(ids.distinct(), "ids"), *self.how), "sets")
+        return stage(sets(self.docs, stage(ids.distinct(), "ids"), self.classes, *self.how), "sets")
 
     def alike(self, common, one, other):
         """Whether sets of these sizes with ``common`` members in common are linked."""
@@ -222,7 +237,7 @@ class _Links:
 
 
 def links(docs: DataFrame, classes: DataFrame, *, id_col: str, text: str, width: int, num: int, den: int) -> DataFrame:
-    """Links between ``classes`` (``id, _sig``) that connect whatever any link would connect."""
+    """Links between ``classes`` (``id, _doc, _key, _sig``) that connect whatever any link would connect."""
     test = _Links(docs, classes, id_col, text, width, num, den)
     rows = bucket_rows(classes)
     stars = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_p")).filter(F.col("_n") > 1)
@@ -276,12 +291,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     ship_package(docs.sparkSession)
     rows = stage(signed(docs, id_col, text, width), "signed")
     classes = stage(rows.filter(F.col("_key").isNotNull() & F.col("doc_id").isNotNull())
-                        .groupBy("_key").agg(F.min("doc_id").alias("id"), F.first("_sig").alias("_sig")), "classes")
-    one = classes.groupBy("id").agg(F.min("_sig").alias("_sig"))       # an id with several texts is one document
-    found = links(docs, one, id_col=id_col, text=text, width=width, num=num, den=den)
-    of = components(found)
-    named = (classes.select("_key", "id").join(of.withColumnRenamed("node", "id"), "id", "left")
-                    .select("_key", F.coalesce("component", "id").alias("_c")))
+                        .groupBy("_key").agg(F.min("doc_id").alias("_doc"), F.first("_sig").alias("_sig"))
+                        .withColumn("id", F.monotonically_increasing_id()), "classes")
+    found = links(docs, classes, id_col=id_col, text=text, width=width, num=num, den=den)
+    of = (classes.select("_key", "id", "_doc").join(components(found).withColumnRenamed("node", "id"), "id", "left")
+                 .withColumn("component", F.coalesce("component", "id")))
+    named = (of.join(of.groupBy("component").agg(F.min("_doc").alias("_c")), "component").select("_key", "_c"))
     out = rows.select("doc_id", "n_shingles", "_key").join(named, "_key", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id"))
     return (out.withColumn("component_id", own)

@@ -18,7 +18,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality classifier accepts (score of 0.5 or more).
 
     It learns from all labels of the input's documents; texts that are null are
-    scored as empty ones.
+    scored as empty ones, rows without id like any others, repeated rows alike.  Columns of any name pass.
     """
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
     whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text").alias("_text"))
@@ -28,7 +28,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the later copies of repeated line runs of 50 words or more.
 
-    A document of which nothing is left goes; ``n_chars`` follows the new text.
+    A document of which nothing is left goes; ``n_chars`` follows the new text.  Null and empty texts
+    stay as they are, repeated rows (same id and text) count once and get one result each; rows without id come
+    first in the order of copies.  Columns of any name pass.
     """
     rows = lines.dedup_lines(docs).filter((F.col("n_deleted") < F.col("n_lines")) | (F.col("n_deleted") == 0))
     changed = F.col("n_deleted") > 0
@@ -38,20 +40,38 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest id) of each group linked by five-word shingles at 0.8 or more."""
-    found = neardup.near_duplicates(docs, width=5, num=80, den=100)
-    gone = stage(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    """One document of each group linked by five-word shingles at 0.8 or more: the smallest id, any id
+    before none.
+
+    Rows are numbered first and judged one by one, so an id with several texts loses only the copies
+    among them, and repeated rows and copies without id leave one row too.  Texts without words are linked with
+    nothing and stay.  Columns of any name pass.
+    """
+    rows = stage(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*docs.columns).alias("_doc")), "rows")
+    found = neardup.near_duplicates(rows.select("_row", F.col("_doc.text").alias("text")), id_col="_row", width=5, num=80, den=100)
+    found = stage(found.select("_row", "component_id"), "components")
+    copies = found.join(found.groupBy("component_id").count().filter(F.col("count") > 1), "component_id", "left_semi")
+    ids = copies.join(rows.select("_row", F.col("_doc.doc_id").alias("_id")), "_row")
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_row"))["_row"].alias("_first"))
+    gone = stage(ids.join(first, "component_id").filter(F.col("_row") != F.col("_first")).select("_row"), "gone")
     small = gone.count() <= neardup.BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return rows.join(F.broadcast(gone) if small else gone, "_row", "left_anti").select("_doc.*")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them (0, 1 or 2 times)."""
+    """Documents as often as the mix of sources takes them (0, 1 or 2 times).
+
+    A null text has no words and follows its source; documents of a null source are one source; repeated rows
+    share their draw.  Columns of any name pass.
+    """
     return mixing.mixed_documents(docs)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the documents with their sequence of 2048 tokens and place in it."""
+    """Token pieces of the documents with their sequence of 2048 tokens and place in it.
+
+    A null or empty text is its end id; repeated rows and rows without id are packed each.  Other columns go.
+    """
     return packing.pack_documents(docs)
 
 
