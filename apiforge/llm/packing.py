@@ -176,8 +176,8 @@ def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
         c = tokens.coder(tokenizer, "ids", as_bytes)
         for b in batches:
             take, piece, start, length, crc, kept = [], [], [], [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                ids = memoryview(b"".join(c.values_of(t or "")) + end)
+            for i, ids in enumerate(tokens.totals(c, b.column(1), b"".join)):
+                ids = memoryview(ids + end)
                 n = len(ids) // 4
                 a, e, k = 0, (n - 1) % capacity + 1, 0
                 while a < n:

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ BUCKETS, DIM, NONZERO, WINDOW = 8_192, 32, 4, 2
 MAX_TRAIN, HIDDEN, EPOCHS, SEED = 20_000, 32, 40, 17
 _TOKEN = re.compile(r"\w+|[^\w\s]+").findall
 _FLUSH = 500_000
+#: Texts scored at a time.
+TEXTS = 512
 
 
 class Words(dict):
@@ -251,18 +254,19 @@ def score(docs: DataFrame, model: dict | None, *, text: str = "text", buckets: i
         return docs.select(*keep, F.lit(0.5).alias("score"))
     shared = spark.sparkContext.broadcast(model)
 
-    def rate(batches):
+    def rate(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words, m = _words(buckets), shared.value
         size = width(m["vectors"].shape[1])
-        for b in batches:
-            x = np.array([pooled(words.ids(t), m["vectors"])
-                          for t in b.column(b.num_columns - 1).to_pylist()]).reshape(-1, size)
-            s = 1 / (1 + np.exp(-np.clip(logit(m, x) / m["temperature"], -500, 500)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s)], names=[*keep, "score"])
-
-    from pyspark.sql import types as T
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(rate, schema)
+        for column in columns:
+            scores = [np.zeros(0)]
+            for a in range(0, len(column), TEXTS):
+                x = np.array([pooled(words.ids(t), m["vectors"]) for t in column.slice(a, TEXTS).to_pylist()]).reshape(-1, size)
+                scores.append(1 / (1 + np.exp(-np.clip(logit(m, x) / m["temperature"], -500, 500))))
+            yield pa.array(np.concatenate(scores))
+
+    # only the texts go to Python; not deterministic to the planner, so a filter on the score runs it once
+    rated = F.arrow_udf(rate, "double").asNondeterministic()
+    return docs.select("*", rated(F.col(text)).alias("score")).select(*keep, "score")
 
 
 def in_fold(id_col, fold: int = 1, folds: int = 3):

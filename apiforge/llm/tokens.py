@@ -34,8 +34,11 @@ def _byte_units() -> dict[int, int]:
 
 BYTE_UNITS = _byte_units()
 
-#: Longest pre-token that is kept in a cache, and how many a worker keeps.
-CACHED_CHARS, CACHED_PIECES = 64, 400_000
+#: Longest pre-token that is kept in a cache, and how many a worker keeps in each of two generations (about
+#: 200 bytes each).
+CACHED_CHARS, CACHED_PIECES = 64, 250_000
+#: Texts read at a time.
+TEXTS = 512
 
 
 def tokenizer_path(name: str) -> str:
@@ -113,6 +116,17 @@ class Coder(dict):
             self[piece] = v
         return v
 
+    def total(self, text: str, add):
+        """``add`` of the values of a whole text's pieces."""
+        parts = text.split(" ")
+        first = parts.pop(0)
+        if not parts or _CLEAN(first):
+            try:
+                return add([self.of(first), add(map(self.__getitem__, parts))] if text else ())
+            except TypeError:            # a piece without a value of its own
+                pass
+        return add(self.values_of(text))
+
     def values_of(self, text: str) -> list:
         """Values of the pieces of a whole text, in order."""
         if not text:
@@ -131,3 +145,10 @@ class Coder(dict):
 def coder(name: str, kind: str, value, key=None, fixed=None) -> Coder:
     """The coder of this worker process for (tokenizer, kind, broadcast)."""
     return only((name, kind, key), lambda: Coder(name, value, fixed() if fixed else None))
+
+
+def totals(c: Coder, column, add):
+    """``add`` of the values of each text of an Arrow column (null: none), a few texts in memory at a time."""
+    for a in range(0, len(column), TEXTS):
+        for t in column.slice(a, TEXTS).to_pylist():
+            yield c.total(t or "", add)
