@@ -57,7 +57,7 @@ def build_nodes(task_calls: DataFrame, catalog: DataFrame, *, keep_module_childr
     # keeps the plans small (self joins) and lets a lost executor restart
     # from the written table instead of from the corpus
     tc = cut_lineage(split_by_owner(task_calls, catalog))
-    paths = cut_lineage(C.call_path(tc.select("api_call")))
+    paths = cut_lineage(C.call_path(tc.select("api_call")))       # the Python stage: once per distinct text
     # Owner path = parts before the first subscript part (when the text has a '['),
     # else all but the last part; the method is the rest
     first_sub = F.array_position(F.transform("path", lambda p: F.contains(p, F.lit("["))), True)
@@ -69,9 +69,10 @@ def build_nodes(task_calls: DataFrame, catalog: DataFrame, *, keep_module_childr
                .withColumn("method", F.array_join(F.slice("path", F.col("_cut") + 1, F.size("path")), "."))
                .withColumn("chain_text", F.when(F.contains("method", F.lit("[")),
                                                 F.concat_ws(".", "base", "method")).otherwise(F.col("api_call"))))
-    texts = (tc.select("api_call").unionByName(owned.select(F.col("base").alias("api_call")))
-               .unionByName(owned.select(F.col("chain_text").alias("api_call"))))
-    info = C.resolve_calls(texts, catalog, simple_split=simple_split)
+    # owners and subscripted methods are texts of their own; few of them, and no call's path is worked out again
+    more = owned.select(F.col("base").alias("api_call")).unionByName(owned.select(F.col("chain_text").alias("api_call")))
+    more = more.distinct().join(paths, "api_call", "left_anti")
+    info = C.resolve_texts(paths.unionByName(cut_lineage(C.call_path(more))), catalog, simple_split=simple_split)
     info = cut_lineage(info.select("api_call", "name", "type", "signature", "value", "resolved"))
 
     # owners: key = base, first appearance order; chain = method, last call wins
@@ -205,16 +206,25 @@ def nest_nodes(nodes: DataFrame) -> DataFrame:
     return cut_lineage(last.select("task_id", "path", "_n.*", "turn"))
 
 
-def depth_first(nested: DataFrame) -> DataFrame:
-    """Add ``dfs``: the places of all nodes on the way down, an order key of the rows of a task.
+def _steps(nested: DataFrame) -> DataFrame:
+    """Every place on the way down to a node: ``at``, its first ``n`` keys."""
+    steps = nested.select("task_id", "path", "turn", F.explode(F.sequence(F.lit(1), F.size("path"))).alias("n"))
+    return steps.withColumn("at", F.slice("path", F.lit(1), F.col("n")))
+
+
+def places(nested: DataFrame) -> DataFrame:
+    """``(task_id, at, place)`` of all nodes and containers among their siblings.
 
-    A container has the place of the first node that was put below it.
+    A container has the place of the first node that was put right below it (what lies deeper came with that node).
     """
-    steps = nested.select("task_id", "path", "turn", F.explode(F.sequence(F.lit(1), F.size("path"))).alias("n"))
-    steps = steps.withColumn("at", F.slice("path", F.lit(1), F.col("n")))
-    places = steps.groupBy("task_id", "at").agg(F.coalesce(
-        F.min(F.when(F.size("path") == F.size("at"), F.col("turn"))), F.min("turn")).alias("place"))
-    ways = (steps.select("task_id", "path", "n", "at").join(places, ["task_id", "at"])
+    more = F.size("path") - F.size("at")
+    return _steps(nested).groupBy("task_id", "at").agg(F.coalesce(
+        F.min(F.when(more == 0, F.col("turn"))), F.min(F.when(more == 1, F.col("turn")))).alias("place"))
+
+
+def depth_first(nested: DataFrame) -> DataFrame:
+    """Add ``dfs``: the places of all nodes on the way down, an order key of the rows of a task."""
+    ways = (_steps(nested).select("task_id", "path", "n", "at").join(places(nested), ["task_id", "at"])
                  .groupBy("task_id", "path").agg(F.sort_array(F.collect_list(F.struct("n", "place"))).alias("dfs")))
     return nested.join(ways, ["task_id", "path"])
 

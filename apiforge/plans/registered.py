@@ -7,3 +7,4 @@ from . import q_catalog  # noqa: F401
 from . import q_requests  # noqa: F401
 from . import q_bindings  # noqa: F401
 from . import q_corpus  # noqa: F401
+from . import q_artefacts  # noqa: F401
