@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import prompts as P
-from ..session import ship_package
+from ..session import ship_package, stage
 
 
 def complete(requests: DataFrame, complete_fn: Callable[[pd.DataFrame], list], *,
@@ -54,6 +54,80 @@ def complete(requests: DataFrame, complete_fn: Callable[[pd.DataFrame], list], *
     return src.mapInPandas(run, schema)
 
 
+def _exists(spark, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def complete_rounds(requests: DataFrame, complete_fn: Callable[[pd.DataFrame], list], n_samples: int, *,
+                    existing: DataFrame | None = None, keys: tuple = ("id_num", "task_id"), out_col: str = "completion",
+                    batch_size: int | None = None, path: str | None = None) -> DataFrame:
+    """F9 + F10: rounds of requests until every row of ``requests`` has ``n_samples`` samples or more.
+
+    A round asks for what is missing of each open row (at most ``batch_size``, column ``n_asked``; ``n_existing``
+    tells what there is): ``complete_fn(batch) -> list of lists of texts``, one list per row.  A list may be shorter or
+    longer than asked for, and all of it is kept; an empty one fails the job, as it would never end.  What is
+    still missing goes into the next round, so there are at most ``n_samples`` of them.
+
+    ``existing`` (samples by ``keys``) counts towards the total.  Returns ``keys, k, round`` and the text, ``k`` going
+    on from the samples there were.  A round is one written table: with ``path`` (a folder of its own for these requests)
+    the rounds lie in ``path/round=<n>``, a run again reads the finished ones and does an unfinished one anew;
+    without, they are staged in the session's shared folder.
+    """
+    spark = requests.sparkSession
+    ship_package(spark)
+    keys = list(keys)
+    have = requests.select(*keys).distinct().withColumn("_have", F.lit(0).cast("long"))
+    if existing is not None:
+        n = existing.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        have = have.join(n, keys, "left").select(*keys, F.coalesce("_n", F.lit(0)).cast("long").alias("_have"))
+    have = stage(have, "have")
+    asked = F.lit(n_samples) - F.col("n_existing")
+    if batch_size:
+        asked = F.least(asked, F.lit(batch_size))
+    schema = T.StructType([*(requests.schema[k] for k in keys), T.StructField("k", T.LongType()), T.StructField(out_col, T.StringType())])
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            answers = list(complete_fn(pdf))
+            if len(answers) != len(pdf):
+                raise RuntimeError(f"completion function returned {len(answers)} lists for {len(pdf)} rows")
+            if not all(len(a) for a in answers):
+                raise RuntimeError("No outputs from model!")
+            out = pdf[keys].loc[pdf.index.repeat([len(a) for a in answers])].reset_index(drop=True)
+            out["k"] = [first + i for first, a in zip(pdf["n_existing"], answers) for i in range(len(a))]
+            out[out_col] = [t for a in answers for t in a]
+            yield out
+
+    rounds = []
+    while True:
+        open_ = have.filter(F.col("_have") < n_samples)
+        if open_.isEmpty():
+            break
+        number = len(rounds) + 1
+        at = f"{path.rstrip('/')}/round={number}" if path else None
+        if not (at and _exists(spark, f"{at}/_SUCCESS")):
+            rows = requests.join(open_.withColumnRenamed("_have", "n_existing"), keys).withColumn("n_asked", asked)
+            made = rows.mapInPandas(run, schema)
+            if at:
+                made.write.mode("overwrite").parquet(at)
+            else:
+                made = stage(made, f"round-{number}")
+        if at:
+            made = spark.read.schema(schema).parquet(at)
+        rounds.append(made.withColumn("round", F.lit(number)))
+        got = made.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        have = stage(open_.join(got, keys, "left").select(*keys, (F.col("_have") + F.coalesce("_n", F.lit(0))).alias("_have")), "have")
+    if not rounds:
+        return spark.createDataFrame([], schema).withColumn("round", F.lit(0))
+    out = rounds[0]
+    for r in rounds[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 def normalize_completion(c: Column) -> Column:
     """tabs become four spaces."""
     return F.replace(c, F.lit("\t"), F.lit("    "))

@@ -244,16 +244,23 @@ def dedupe_key_calls(calls: DataFrame) -> DataFrame:
 
 
 def import_targets(facts: DataFrame) -> DataFrame:
-    """Distinct import targets per file (a file has few; bounded by its imports)."""
-    return (facts.where(F.col("fact") == "import")
-                 .groupBy("task_id").agg(F.collect_set("target").alias("targets")))
+    """``(task_id, targets)``: what the file's import names stand for at its end.
+
+    An alias imported again keeps its last target only (modules and imported names are
+    two maps).  One row per file, as large as its list of imports.
+    """
+    each = F.struct("kind", "name", "seq", "target")
+    last = F.filter("_i", lambda x: ~F.exists("_i", lambda y: (y["kind"] == x["kind"]) & (y["name"] == x["name"])
+                                              & (y["seq"] > x["seq"])))
+    return (facts.where(F.col("fact") == "import").groupBy("task_id").agg(F.collect_set(each).alias("_i"))
+                 .select("task_id", F.array_distinct(F.transform(last, lambda x: x["target"])).alias("targets")))
 
 
 def classify_calls(calls: DataFrame, facts: DataFrame, *, boundary: bool = False) -> DataFrame:
     """Add ``is_api`` per call and ``key_is_api`` per key.
 
-    A call is an API when its text starts with any import target of the file
-    or a builtin type name (plain prefix test; ``boundary=True`` also demands
+    A call is an API when its text starts with any import target that the file has at its end
+    (a call through an alias that was imported anew later is none) or a builtin type name (plain prefix test; ``boundary=True`` also demands
     a ``.``, ``(``, ``[`` or the end after the prefix).  A key with a single
     non-API call is non-API as a whole.
     """

@@ -194,3 +194,42 @@ def q_annotate_sites(spark, sf):
     c = corpus(spark, sf)
     pos = sites.longest_call_per_position(sites.api_calls(calls(spark, sf)))
     return sites.annotate_sites(c, pos)
+
+
+_AGAIN_SQL = r"""
+CASE p_size % 3
+  WHEN 0 THEN 'import numpy as m' || chr(10) || 'm.zeros(' || p_size || ')' || chr(10) || 'import math as m' || chr(10) || 'm.floor(' || p_size || ')' || chr(10)
+  WHEN 1 THEN 'try:' || chr(10) || '    import simplejson as json' || chr(10) || 'except ImportError:' || chr(10) || '    import json' || chr(10) ||
+              'json.loads(''' || p_name || ''')' || chr(10)
+  ELSE 'from a.b import f' || chr(10) || 'f(' || p_size || ')' || chr(10) || 'from c import f' || chr(10) || 'import a' || chr(10) || 'f()' || chr(10)
+END"""
+
+
+@query("import_map", f"""
+WITH src AS (SELECT 'T/' || p_partkey AS task_id, p_size AS s, p_size % 3 AS t, p_name FROM part)
+SELECT task_id, 'm.zeros' AS api_key, 'numpy.zeros(' || s || ')' AS api_call, false AS key_is_api FROM src WHERE t = 0
+UNION ALL SELECT task_id, 'm.floor', 'math.floor(' || s || ')', true FROM src WHERE t = 0
+UNION ALL SELECT task_id, 'json.loads', 'json.loads(''' || p_name || ''')', true FROM src WHERE t = 1
+UNION ALL SELECT task_id, 'f', 'a.b.f(' || s || ')', true FROM src WHERE t = 2
+UNION ALL SELECT task_id, 'f', 'c.f()', true FROM src WHERE t = 2
+""")
+def q_import_map(spark, sf):
+    """C5 with aliases that are imported twice: calls count by what the names stand for at the end of the file."""
+    p = table(spark, sf, "part")
+    code = p.select(F.concat(F.lit("T/"), F.col("p_partkey").cast("string")).alias("task_id"), F.expr(_AGAIN_SQL).alias("code"))
+    out = R.extract_calls(scan.scan_code_facts(code))
+    return out.select("task_id", "api_key", "api_call", "key_is_api")
+
+
+@query("posting_lists", f"""
+WITH {_SRC_SQL}, {_EXPECTED_SQL},
+d AS (SELECT DISTINCT CASE WHEN api_call LIKE 'numpy.array(%)' THEN 'numpy.array' ELSE api_call END AS api_call, task_id FROM expected WHERE key_is_api),
+n AS (SELECT *, row_number() OVER (PARTITION BY api_call ORDER BY task_id) - 1 AS i, count(*) OVER (PARTITION BY api_call) AS c FROM d)
+SELECT api_call, i // 20 AS block, (any_value(c) + 19) // 20 AS n_blocks, string_agg(task_id, ',' ORDER BY i) AS tasks FROM n GROUP BY 1, 2
+""")
+def q_posting_lists(spark, sf):
+    """C10's lists in blocks of 20 tasks; the arguments of one call are cut, so that a third of all tasks share it."""
+    idx = sites.inverted_index(sites.api_calls(calls(spark, sf)))
+    same = F.when(F.col("api_call").rlike(r"^numpy\.array\(.*\)$"), "numpy.array").otherwise(F.col("api_call"))
+    blocks = sites.list_blocks(idx.select(same.alias("api_call"), "task_id").distinct(), "api_call", "task_id", ["task_id"], size=20)
+    return blocks.select("api_call", "block", "n_blocks", F.array_join("items", ",").alias("tasks"))
\ No newline at end of file

@@ -143,6 +143,31 @@ def q_complete_samples(spark, sf):
     return CMP.to_samples(done)
 
 
+def short_answers(batch) -> list:
+    """Deterministic stand-in for a model that answers three fifths of what it is asked, now and then one more."""
+    return [[f"{i}/{t}/{asked}/{j}" for j in range(max(1, asked * 6 // 10) + (i % 7 == 0))]
+            for i, t, asked in zip(batch["id_num"], batch["task_id"], batch["n_asked"])]
+
+
+@query("complete_rounds", """
+WITH RECURSIVE
+schemas AS (SELECT DISTINCT user_id AS id_num, event_type AS task_id FROM events),
+existing AS (SELECT user_id AS id_num, event_type AS task_id, count(*) AS n FROM events WHERE value < 20 GROUP BY ALL),
+r(id_num, task_id, n, round, asked, got) AS (
+  SELECT s.id_num, s.task_id, coalesce(e.n, 0)::BIGINT, 0, 0::BIGINT, 0::BIGINT FROM schemas s LEFT JOIN existing e USING (id_num, task_id)
+  UNION ALL
+  SELECT id_num, task_id, n + g, round + 1, a, g
+  FROM (SELECT *, greatest(1, a * 6 // 10) + (id_num % 7 = 0)::BIGINT AS g FROM (SELECT *, least(4, 10 - n) AS a FROM r WHERE n < 10)))
+SELECT id_num, task_id, round, n - got + j AS k, id_num || '/' || task_id || '/' || asked || '/' || j AS completion
+FROM r, unnest(range(got)) AS t(j) WHERE round > 0
+""")
+def q_complete_rounds(spark, sf):
+    """Rounds with a function that returns fewer, and sometimes more, texts than asked for."""
+    schemas, existing = _plan_inputs(spark, sf)
+    return CMP.complete_rounds(schemas, short_answers, N_SAMPLES, existing=existing, batch_size=4,
+                               path=_scratch(spark, "rounds"))
+
+
 @query("cut_at_stop", r"""
 SELECT doc_id, regexp_extract(CASE doc_id % 5 WHEN 0 THEN 'a</s>b' || text WHEN 1 THEN text || '<|endoftext|>z' WHEN 2 THEN 'x' || chr(10) || '```' || chr(10) || text
                               WHEN 3 THEN 'q<|endofmask|></s>' ELSE text END,
