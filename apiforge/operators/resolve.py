@@ -274,7 +274,7 @@ def classify_calls(calls: DataFrame, facts: DataFrame, *, boundary: bool = False
                             lambda x: F.startswith(F.col("api_call"), x))
         return F.exists(F.coalesce(arr, F.array().cast("array<string>")),
                         lambda x: F.startswith(F.col("api_call"), x)
-                        & (F.length(F.col("api_call")) == F.length(x)
+                        & ((F.length(F.col("api_call")) == F.length(x))
                            | F.substr(F.col("api_call"), F.length(x) + 1, F.lit(1)).isin(".", "(", "[")))
     j = j.withColumn("is_api", hit(F.col("targets")) | hit(builtins_arr)).drop("targets")
     # one key of one file has few distinct calls (C6): the window is bounded by the file

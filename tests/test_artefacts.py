@@ -142,3 +142,4 @@ def test_an_alias_imported_twice_keeps_one_target(spark, boundary):
     assert sorted(resolve.import_targets(facts).first()["targets"]) == ["c", "d.e", "os"]
     got = {r.api_call: r.key_is_api for r in resolve.extract_calls(facts, boundary=boundary).collect()}
     assert got["a.b.f()"] is False and got["c.g()"] is True and got["d.e.x()"] is True
+    assert got["oscar.run()"] is (not boundary)            # "os" is a prefix of its letters, not of its path
