@@ -13,8 +13,8 @@
    from each page, up to a marked article or main part inside them, with what their tags,
    roles or class names mark as menu, header, footer, sidebar, notice, advert, form,
    script, style or comment.
-4. If the page marks an article (or a main part), only that is read; importance removes
-   nothing in there.
+4. If the page marks an article (or a main part), only that is read (unless most of the text left stands beside
+   it); importance removes nothing in there.  A form around an article does not hide it.
 
 The statistics are hash aggregates per (host, path, feature) over distinct pages, dealt by
 all of these, so a hot host is spread.  The table of unimportant paths has a row per host; it is broadcast up to
@@ -40,6 +40,8 @@ from pyspark.sql import functions as F
 from ..session import ship_package, stage
 
 THRESHOLD, MIN_PAGES, CONTENT_SHARE = 0.2, 8, 0.9
+#: Marked articles (or main parts) with less than one part in so many of the text that is left are teasers.
+TEASER = 4
 BROADCAST_HOSTS = 20_000
 
 # ---- fixed values: element and attribute names of HTML, and common class names
@@ -56,6 +58,10 @@ NOISE_WORDS = set("ad ads adv advert adverts advertisement banner breadcrumb bre
                   "respond share sharing sidebar signup skyscraper social sponsor sponsored subscribe toolbar widget".split())
 NOISE_ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search "
                   "toolbar".split())
+#: Name parts behind which a word still tells the role ("comments-area"), and before which it does not ("no-sidebar").
+HOLDERS = set("area bar block body box container content form group holder inner item items list outer panel section "
+              "wrap wrapper".split())
+STATES = set("allow allows disable enable has have hide is no non not show with without".split())
 #: A start tag ends these open elements (up to the given border).
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -79,18 +85,26 @@ def attributes(raw: str) -> dict[str, str]:
     return {k.lower(): _html.unescape(v.strip("\"'")) for k, v in reversed(_ATTR.findall(raw))}
 
 
-def marked_noise(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+def marked_noise(tag: str, attrs: dict[str, str], in_article: bool, in_region: bool) -> bool:
     """Whether tag, role or class names mark an element as something beside the article."""
     if tag in ("html", "body", "main"):
         return False
-    if tag in NOISE and not (tag == "header" and in_article):
+    if tag in NOISE and not (tag == "header" and in_region):
         return True
     if not attrs:
         return False
     if "hidden" in attrs or attrs.get("role", "").lower() in NOISE_ROLES or attrs.get("aria-hidden") == "true":
         return True
-    names = _WORDS.findall((attrs.get("class", "") + " " + attrs.get("id", "")).lower())
-    return any(n in NOISE_WORDS for n in names) and not (in_article and tag in HEADINGS | {"header"})
+    names = (attrs.get("class", "") + " " + attrs.get("id", "")).lower().split()
+    return any(map(role_word, names)) and not (in_article and tag in HEADINGS | {"header"})
+
+
+def role_word(name: str) -> bool:
+    """Whether a class name or id says what its element is: a word of ``NOISE_WORDS`` as a whole, or at its end."""
+    parts = _WORDS.findall(name)
+    while len(parts) > 1 and parts[-1] in HOLDERS | {p for p in parts[-1:] if p.isdigit()}:
+        parts.pop()
+    return bool(parts) and parts[-1] in NOISE_WORDS and parts[0] not in STATES
 
 
 class Page:
@@ -100,7 +114,7 @@ class Page:
         self.blocks: list[tuple[str, int, int]] = []                # text, style path, region
         self.children: dict[int, list[int]] = {}
         self.regions: set[int] = set()                              # 2: article, 1: main
-        self._open: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]   # tag, path, noise (1: by style, 2: marked), region
+        self._open: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]   # tag, path, noise (1: by style, 2: marked, 3: a form), region
         self._tags: Counter = Counter()                             # of what is open
         self._text: list[str] = []
         self._unimportant = unimportant
@@ -162,8 +176,11 @@ class Page:
             region = 2
         elif region == 0 and (tag == "main" or attrs.get("role") == "main"):
             region = 1
-        if above[2] == 2 or marked_noise(tag, attrs, above[3] == 2):
-            noise = 2
+        part = region > above[3]
+        if above[2] == 2 or (above[2] == 3 and not part):
+            noise = above[2]
+        elif marked_noise(tag, attrs, above[3] == 2, above[3] > 0):
+            noise = 3 if tag == "form" else 2
         else:
             noise = int(not region and (above[2] == 1 or path in self._unimportant))
         if not noise and region:
@@ -202,8 +219,9 @@ class Page:
     def text(self) -> str:
         region = max(self.regions, default=0)
         kept = [s for s, _, r in self.blocks if r >= region]
-        if not kept:
-            kept = [s for s, _, _ in self.blocks]
+        every = [s for s, _, _ in self.blocks]
+        if TEASER * sum(map(len, kept)) < sum(map(len, every)):       # a teaser beside the story
+            kept = every
         return "\n\n".join(kept)
 
 

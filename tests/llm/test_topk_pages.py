@@ -65,6 +65,15 @@ def test_bounds_hold_and_tighten():
     ("<p>1 &lt; 2&nbsp;3 &#228;</p><form>f</form>", "1 < 2 3 ä"),
     ("<article><p>q<p>r</article><footer>f", "q\n\nr"), ("<table><tr><td>a<td>b</table>", "a\n\nb"),
     ("<article class='comment'><p>c</p></article><p>t</p>", "t"),
+    ("<body><form id=aspnet><input><nav>n</nav><article><p>a</p></article><p>f</p></form></body>", "a"),
+    ("<div class='page no-sidebar'><article><p>a</p></article></div>", "a"),
+    ("<article class='post comments-open'><p>a</p></article>", "a"),
+    ("<div class='has-menu wrapper'><article><p>a</p></article></div>", "a"),
+    ("<article><p>a</p><p class='notice-period'>b</p><p class='cookie-notice'>c</p></article>", "a\n\nb"),
+    ("<article><p>t</p></article><div><p>the whole story stands here</p></div>", "t\n\nthe whole story stands here"),
+    ("<main><header><h1>T</h1></header><p>m</p></main><p>o</p>", "T\n\nm"),
+    ("<div class='comments-area'><article><p>c</p></article></div><div id='main-nav'>n</div><p>t</p>", "t"),
+    ("<div class='site-footer-2'>f</div><div class=widget_list>w</div><form><p>f</p></form><p>t</p>", "t"),
 ])
 def test_pages(html, text):
     assert pages.Page(html).text() == text
