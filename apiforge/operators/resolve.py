@@ -152,11 +152,12 @@ _PROBE_COLS = ["task_id", "seq", "seq_end", "ptype", "kind", "name", "target", "
 
 def _probes(facts: DataFrame) -> DataFrame:
     """Everything that looks a name up, in one table: bindings (their callee
-    root), plain references (their root) and class bases (the base name)."""
-    f = facts.where(F.col("fact").isin("bind", "class") |
-                    ((F.col("fact") == "ref") & F.col("stored") & (F.col("kind") != "self")))
+    root), plain references (their root), class bases (the base name) and what hangs on
+    ``self`` (the name of the class around it)."""
+    f = facts.where(F.col("fact").isin("bind", "class") | ((F.col("fact") == "ref") & F.col("stored")))
+    own = (F.col("fact") == "ref") & (F.col("kind") == "self")
     return f.select(*[c for c in _PROBE_COLS if c not in ("ptype", "lk")],
-                    F.col("fact").alias("ptype"), F.col("root").alias("lk"))
+                    F.col("fact").alias("ptype"), F.when(own, F.col("cls")).otherwise(F.col("root")).alias("lk"))
 
 
 def resolve_references(facts: DataFrame, *, block: int = DEFAULT_BLOCK,
@@ -176,6 +177,15 @@ def resolve_references(facts: DataFrame, *, block: int = DEFAULT_BLOCK,
     bindings = resolve_binding_texts(_bind_start(looked.where(F.col("ptype") == "bind")))
 
     refs = looked.where(F.col("ptype") == "ref")
+    # C4: self.x inside a class is keyed <resolved base or class>.x (an as-of lookup among the resolved
+    # classes); its call goes on like an attribute of the class's name, which may itself be imported or bound
+    cls = looked.where(F.col("ptype") == "class")
+    base = F.when(F.col("kind") == "attr", F.col("target")).otherwise(F.coalesce(F.col("n"), F.col("m")))
+    classes = cls.select("task_id", F.col("name").alias("lk"), "seq", base.alias("c")).where(F.col("c").isNotNull())
+    selfs = asof_last(refs.where(F.col("kind") == "self"), classes, KEYS, ["c"], block=block, max_seq=max_seq)
+    selfs = selfs.withColumns({"name": F.concat(F.coalesce("c", "cls"), F.lit("."), "rest"), "root": F.col("cls"),
+                               "kind": F.lit("attr")}).drop("c")
+    refs = refs.where(F.col("kind") != "self").unionByName(selfs)
     texts = bindings.select("task_id", F.col("id").alias("v"), F.col("text").alias("vt"))
     refs = refs.join(texts, ["task_id", "v"], "left")
     inits = (facts.where(F.col("fact") == "init")
@@ -212,18 +222,7 @@ def resolve_references(facts: DataFrame, *, block: int = DEFAULT_BLOCK,
     plain_out = refs.select("task_id", "seq", F.col("name").alias("api_key"), api.alias("api_call"),
                             "pargs", "line", "col")
 
-    # C4: self.x inside a class -> <resolved base or class>.x, the key rewritten too
-    cls = looked.where(F.col("ptype") == "class")
-    base = F.when(F.col("kind") == "attr", F.col("target")).otherwise(F.coalesce(F.col("n"), F.col("m")))
-    classes = cls.select("task_id", F.col("name").alias("lk"), "seq", base.alias("c")).where(F.col("c").isNotNull())
-    selfs = facts.where((F.col("fact") == "ref") & F.col("stored") & (F.col("kind") == "self")) \
-                 .select("task_id", "seq", "rest", "pargs", "line", "col", "cls", F.col("cls").alias("lk"))
-    looked_s = asof_last(selfs, classes, KEYS, ["c"], block=block, max_seq=max_seq)
-    full = F.concat(F.coalesce(F.col("c"), F.col("cls")), F.lit("."), rest)
-    self_out = looked_s.select("task_id", "seq", full.alias("api_key"), full.alias("api_call"),
-                               "pargs", "line", "col")
-
-    out = plain_out.unionByName(self_out).where(F.col("api_call").isNotNull())
+    out = plain_out.where(F.col("api_call").isNotNull())
     # the callee of a call gets that call's arguments unless its text already ends with them
     with_args = F.when(F.col("pargs").isNotNull() & ~F.col("api_call").endswith(F.col("pargs")),
                        F.concat(F.col("api_call"), F.col("pargs"))).otherwise(F.col("api_call"))

@@ -232,4 +232,31 @@ def q_posting_lists(spark, sf):
     idx = sites.inverted_index(sites.api_calls(calls(spark, sf)))
     same = F.when(F.col("api_call").rlike(r"^numpy\.array\(.*\)$"), "numpy.array").otherwise(F.col("api_call"))
     blocks = sites.list_blocks(idx.select(same.alias("api_call"), "task_id").distinct(), "api_call", "task_id", ["task_id"], size=20)
-    return blocks.select("api_call", "block", "n_blocks", F.array_join("items", ",").alias("tasks"))
\ No newline at end of file
+    return blocks.select("api_call", "block", "n_blocks", F.array_join("items", ",").alias("tasks"))
+
+_SELF_SQL = r"""
+CASE p_size % 4
+  WHEN 0 THEN 'import conf as Base' || chr(10) || 'class Base(object):' || chr(10) || '    def g(self):' || chr(10) || '        return self.item' || p_size || chr(10)
+  WHEN 1 THEN 'import pkg' || chr(10) || 'K = pkg.make(' || p_size || ')' || chr(10) || 'class K:' || chr(10) || '    def g(self):' || chr(10) ||
+              '        return self.run()' || chr(10)
+  WHEN 2 THEN 'from http import Server' || chr(10) || 'from web import P' || chr(10) || 'class P(Server):' || chr(10) || '    def g(self):' || chr(10) ||
+              '        return self.path.join(' || p_size || ')' || chr(10)
+  ELSE 'class Q:' || chr(10) || '    def g(self):' || chr(10) || '        return self.go()' || chr(10) || 'Q = Q(' || p_size || ')' || chr(10)
+END"""
+
+
+@query("self_through_names", f"""
+WITH src AS (SELECT 'T/' || p_partkey AS task_id, p_size AS s, p_size % 4 AS t FROM part)
+SELECT task_id, 'object.item' || s AS api_key, 'conf.item' || s AS api_call FROM src WHERE t = 0
+UNION ALL SELECT task_id, 'pkg.make', 'pkg.make(' || s || ')' FROM src WHERE t = 1
+UNION ALL SELECT task_id, 'K.run', 'pkg.make(' || s || ').run()' FROM src WHERE t = 1
+UNION ALL SELECT task_id, 'http.Server.path.join', 'web.P.path.join(' || s || ')' FROM src WHERE t = 2
+UNION ALL SELECT task_id, 'http.Server.path', 'web.P.path' FROM src WHERE t = 2
+UNION ALL SELECT task_id, 'Q.go', 'Q(' || s || ').go()' FROM src WHERE t = 3
+""")
+def q_self_through_names(spark, sf):
+    """C4 in classes whose own name is an imported module, a variable, an imported name, or made an object later."""
+    p = table(spark, sf, "part")
+    code = p.select(F.concat(F.lit("T/"), F.col("p_partkey").cast("string")).alias("task_id"), F.expr(_SELF_SQL).alias("code"))
+    refs, _ = R.resolve_references(scan.scan_code_facts(code))
+    return R.dedupe_key_calls(refs).select("task_id", "api_key", "api_call")
