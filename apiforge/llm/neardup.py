@@ -13,8 +13,9 @@
    sizes, the distance of longer signatures and, for classes that resemble their bucket's pivot (crowds of
    copies that differ from each other a little too much), exactly: a class is written as what
    the pivot's set lacks or has too much, and two such differences give the
-   intersection of the two sets.  No bucket is capped.
-4. Every candidate that comes out is confirmed on the full shingle sets.
+   intersection of the two sets.  A crowd is dealt to a task for each pair of its parts; tasks hand on only links that
+   join components, so what comes out does not grow with the square of a crowd.  No bucket is capped.
+4. Every candidate whose sets were not compared exactly in step 3 is confirmed on the full shingle sets.
 
 At similarity s a pair is missed with probability (1 - P(a chunk has at most one
 error)) ** chunks: 2e-6 at 0.85 and 4e-5 at 0.8; the distance tests add under 2e-6.
@@ -47,6 +48,8 @@ HASHES, CHUNK, ERRORS = 24, 4, 1
 LANES = 3
 #: One-bit values of the longer signature that pairs of crowded buckets are tested with, 63 to a long.
 FINE, FINE_LANES = 252, 63
+#: Rows of a crowded bucket in a part; a task compares two parts.
+CROWD = 512
 #: Up to so many ids their list is broadcast to filter texts (8 MB); beyond, joined.
 BROADCAST_IDS = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -181,13 +184,100 @@ def farthest(similarity: float, values: int = HASHES, bits: int = 16, miss: floa
 
 
 def bucket_rows(classes: DataFrame) -> DataFrame:
-    """``key, id``: every chunk with every value left out (ERRORS = 1)."""
+    """``b, key, id``: every chunk with every value left out (ERRORS = 1), numbered by ``b``."""
     keys = []
     for c in range(0, HASHES, CHUNK):
         for out in range(c, c + CHUNK):
             kept = [value("_sig", i) for i in range(c, c + CHUNK) if i != out]
             keys.append(F.xxhash64(F.lit(out), *kept))
-    return classes.select(F.explode(F.array(*keys)).alias("key"), "id")
+    return classes.select(F.posexplode(F.array(*keys)).alias("b", "key"), "id")
+
+
+def first_buckets(values: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The number of the first bucket that ``own`` shares with each row of ``values`` (-1: none).
+
+    A chunk without errors shares all its buckets, one with an error the bucket that leaves it out.
+    """
+    apart = (values != own).reshape(len(values), -1, CHUNK)
+    near = apart.sum(2) <= ERRORS
+    chunk = near.argmax(1)
+    return np.where(near.any(1), CHUNK * chunk + apart[np.arange(len(values)), chunk].argmax(1), -1)
+
+
+def crowd_links(opened: DataFrame, test: _Links) -> DataFrame:
+    """``a, b, known``: links across components among the rows of each bucket of ``opened``, found exactly
+    (``known``) or to be confirmed.
+
+    A bucket's rows are dealt to a task for each pair of its parts of ``CROWD`` rows.  A task joins components as it
+    goes, so it hands on fewer exact links than it has rows; a pair is tested in the first bucket that it shares only
+    (where one of the two is that bucket's pivot, it has been tested).
+    """
+    num, den, fine_far, apart = test.num, test.den, test.fine_far, 1 - test.num / test.den + 1e-9
+
+    def rows_of(column) -> tuple[np.ndarray, np.ndarray]:
+        """Values of a list column in a row, and where each list ends (null: empty)."""
+        lists = column.combine_chunks()
+        lengths = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        return lists.flatten().to_numpy(), np.cumsum(lengths)
+
+    def common(flag, at, ends):
+        upto = np.concatenate([[0], np.cumsum(flag[at])])
+        return upto[ends] - upto[np.concatenate([[0], ends[:-1]])]
+
+    def find(key, table):
+        m, cell = table.num_rows, (key[1].as_py(), key[2].as_py())
+        ids, part, bucket = (table[c].to_numpy() for c in ("id", "_part", "b"))
+        n, of, d = (table[c].to_numpy() for c in ("_n", "_np", "_d"))
+        root = np.unique(table["_c"].to_numpy(), return_inverse=True)[1]
+        fine = np.array(table["_fine"].to_pylist(), np.int64)
+        values = np.array(table["_sig"].to_pylist(), np.int64)
+        values = np.stack([(values[:, i // LANES] >> (16 * (i % LANES))) & 0xFFFF for i in range(HASHES)], 1)
+        known = ~table["_minus"].is_null().combine_chunks().to_numpy(zero_copy_only=False)
+        (minus, minus_ends), (plus, plus_ends) = rows_of(table["_minus"]), rows_of(table["_plus"])
+        dense = np.unique(np.concatenate([minus, plus]), return_inverse=True)[1]
+        minus, plus, flag = dense[:len(minus)], dense[len(minus):], np.zeros(len(dense) + 1, np.int64)
+        sizes = np.diff(minus_ends, prepend=0)
+        out: tuple[list, list, list] = ([], [], [])
+        for i in range(m):
+            j = np.flatnonzero(root != root[i])
+            j = j[j > i] if cell[0] == cell[1] else j[part[j] != part[i]]
+            if cell[0] != cell[1] and part[i] != cell[0]:
+                continue
+            least = np.minimum(n[j], n[i])
+            j = j[(den * least >= num * (n[j] + n[i] - least)) & (np.abs(d[j] - d[i]) <= apart)]
+            j = j[np.bitwise_count(fine[j] ^ fine[i]).sum(1) <= fine_far] if len(j) else j
+            j = j[first_buckets(values[j], values[i]) == bucket[i]] if len(j) else j
+            if not len(j):
+                continue
+            exact = known[j] & known[i]
+            for k in j[~exact]:
+                out[0].append(ids[i])
+                out[1].append(ids[k])
+                out[2].append(False)
+            if exact.any():
+                begin = lambda ends: ends[i - 1] if i else 0
+                counts = []
+                for at, ends in ((minus, minus_ends), (plus, plus_ends)):
+                    own = at[begin(ends):ends[i]]
+                    flag[own] = 1
+                    counts.append(common(flag, at, ends))
+                    flag[own] = 0
+                both = of - (sizes + sizes[i] - counts[0]) + counts[1]
+                for k in j[exact]:
+                    if root[k] != root[i] and den * both[k] >= num * (n[i] + n[k] - both[k]):
+                        out[0].append(ids[i])
+                        out[1].append(ids[k])
+                        out[2].append(True)
+                        root[root == root[k]] = root[i]
+        a, b = np.array(out[0], np.int64), np.array(out[1], np.int64)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "known": pa.array(out[2], pa.bool_())})
+
+    parts = opened.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("_g"))
+    own = F.col("_part")
+    cells = F.transform(F.sequence(F.lit(0), F.col("_g") - 1), lambda k: F.struct(F.least(k, own).alias("_row"), F.greatest(k, own).alias("_col")))
+    dealt = (opened.join(parts, "key").withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_g")).cast("int"))
+                   .withColumn("_cell", F.explode(cells)).select("*", "_cell._row", "_cell._col").drop("_cell"))
+    return dealt.groupBy("key", "_row", "_col").applyInArrow(find, "a long, b long, known boolean")
 
 
 class _Links:
@@ -264,23 +354,11 @@ def links(docs: DataFrame, classes: DataFrame, *, id_col: str, text: str, width:
             # the differences are taken from a class of the bucket's largest component
             central = (opened.groupBy("key", "_c").agg(F.count(F.lit(1)).alias("_k"), F.min("id").alias("_i"))
                              .groupBy("key").agg(F.max(F.struct("_k", "_i"))["_i"].alias("_p")))
-            opened = stage(opened.filter(F.col("id") != F.col("_p")).select("key", "id", "_c").join(central, "key"), "rest")
-            opened = opened.join(test.differences(opened), ["id", "_p"])
-            side = ["_c", "_n", "_np", "_d", "_minus", "_plus", "_fine"]
-            x = opened.select("key", F.col("id").alias("a"), *(F.col(c).alias(c + "a") for c in side))
-            y = opened.select("key", F.col("id").alias("b"), *(F.col(c).alias(c + "b") for c in side))
-            sizes = F.col("_na"), F.col("_nb")
-            known = F.col("_minusa").isNotNull() & F.col("_minusb").isNotNull()
-            most = (F.col("_npa") - F.greatest(F.size("_minusa"), F.size("_minusb"))
-                    + F.least(F.size("_plusa"), F.size("_plusb")))
-            common = (F.col("_npa") - F.size(F.array_union("_minusa", "_minusb"))
-                      + F.size(F.array_intersect("_plusa", "_plusb")))
-            # cheap bounds first; the exact test is a function of its own, which keeps the others' code small
-            may = (test.alike(F.least(*sizes), *sizes) & (F.abs(F.col("_da") - F.col("_db")) <= 1 - num / den + 1e-9)
-                   & (~known | test.alike(most, *sizes)) & (fine_distance("_finea", "_fineb") <= test.fine_far)
-                   & (~known | F.exists(F.array(F.lit(True)), lambda t: t & test.alike(common, *sizes))))
-            more = (x.join(y, (x["key"] == y["key"]) & (F.col("_ca") < F.col("_cb")) & may)
-                     .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+            opened = stage(opened.filter(F.col("id") != F.col("_p")).select("b", "key", "id", "_c").join(central, "key"), "rest")
+            opened = opened.join(test.differences(opened), ["id", "_p"]).join(test.sigs, "id")
+            linked = stage(crowd_links(opened, test), "crowd-links")
+            found = found.union(linked.filter("known").select("a", "b"))
+            more = linked.filter(~F.col("known")).select("a", "b").distinct()
         found = stage(found.union(test.confirm(more)), "found")
     return found
 
