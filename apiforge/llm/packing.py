@@ -169,8 +169,10 @@ def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
+    packers = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
     def as_bytes(ids) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return packers[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
 
     def cut(batches):
         c = tokens.coder(tokenizer, "ids", as_bytes)

@@ -33,10 +33,11 @@ def _byte_units() -> dict[int, int]:
 
 
 BYTE_UNITS = _byte_units()
+_BLANK = chr(BYTE_UNITS[32])
 
 #: Longest pre-token that is kept in a cache, and how many a worker keeps in each of two generations (about
 #: 200 bytes each).
-CACHED_CHARS, CACHED_PIECES = 64, 250_000
+CACHED_CHARS, CACHED_PIECES = 64, 500_000
 #: Texts read at a time.
 TEXTS = 512
 
@@ -87,34 +88,42 @@ class Coder(dict):
         """Value of a blank and a word of letters."""
         if self.model is None:
             return self.of(" " + word)
-        units = (" " + word).encode().decode("latin-1").translate(BYTE_UNITS)
+        units = _BLANK + word if word.isascii() else (" " + word).encode().decode("latin-1").translate(BYTE_UNITS)
         return self.value([t.id for t in self.model.tokenize(units)])
 
+    def _keep(self, piece: str, v):
+        if len(piece) <= CACHED_CHARS:
+            if len(self) >= CACHED_PIECES + len(self.fixed):
+                self.old = dict(self)
+                self.clear()
+                self.update(self.fixed)
+            self[piece] = v
+        return v
+
+    def _known(self, word: str):
+        v = self.get(word)
+        return v if v is not None else self._keep(word, self.old.get(word) or self.word(word))
+
     def __missing__(self, piece: str):
         v = self.old.get(piece)
         if v is None:
-            two = _WORD_SIGNS(piece) if self.model is not None else None
-            if two:
+            if self.model is not None and piece.isascii() and piece.isalpha():
+                v = self.word(piece)
+            elif self.model is not None and (two := _WORD_SIGNS(piece)):
                 word, signs = two.groups()
+                v = self._known(word)
                 if signs:
-                    if signs not in self.signs:
+                    more = self.signs.get(signs)
+                    if more is None:
                         if len(self.signs) >= CACHED_PIECES:
                             self.signs.clear()
-                        self.signs[signs] = self.of(signs)
-                    v = self[word] + self.signs[signs]
-                else:
-                    v = self.word(word)
+                        more = self.signs[signs] = self.of(signs)
+                    v = v + more
             elif _CLEAN(piece):
                 v = self.of(" " + piece)
             else:
                 return None          # the blank before it may not be a border
-        if len(piece) <= CACHED_CHARS:
-            if len(self) >= CACHED_PIECES + len(self.fixed):
-                self.old = dict(self)
-                self.clear()
-                self.update(self.fixed)
-            self[piece] = v
-        return v
+        return self._keep(piece, v)
 
     def total(self, text: str, add):
         """``add`` of the values of a whole text's pieces."""
