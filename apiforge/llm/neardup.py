@@ -9,7 +9,7 @@
 3. A bucket (a key's classes) first compares all its classes with one pivot, so the work is
    linear however large it is.  Links found merge classes into components.  What is
    left are pairs of *different* components in a bucket of three or more, after a second
-   pivot.  These are decided inside the join, so hardly any pair but links comes out: by set
+   pivot.  These are decided where they meet, block by block: by set
    sizes, the distance of longer signatures and, for classes that resemble their bucket's pivot (crowds of
    copies that differ from each other a little too much), exactly: a class is written as what
    the pivot's set lacks or has too much, and two such differences give the
@@ -48,8 +48,9 @@ HASHES, CHUNK, ERRORS = 24, 4, 1
 LANES = 3
 #: One-bit values of the longer signature that pairs of crowded buckets are tested with, 63 to a long.
 FINE, FINE_LANES = 252, 63
-#: Rows of a crowded bucket in a part; a task compares two parts.
-CROWD = 512
+#: Rows of a bucket that one join settles; those of larger ones (crowds) are dealt to parts of ``CROWD`` rows, and a
+#: task compares two parts.
+FEW, CROWD = 64, 512
 #: Up to so many ids their list is broadcast to filter texts (8 MB); beyond, joined.
 BROADCAST_IDS = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -204,6 +205,25 @@ def first_buckets(values: np.ndarray, own: np.ndarray) -> np.ndarray:
     return np.where(near.any(1), CHUNK * chunk + apart[np.arange(len(values)), chunk].argmax(1), -1)
 
 
+def few_links(opened: DataFrame, test: _Links) -> DataFrame:
+    """``a, b``: links across components in buckets of ``FEW`` rows at most, by one join."""
+    side = ["_c", "_n", "_np", "_d", "_minus", "_plus", "_fine"]
+    x = opened.select("key", F.col("id").alias("a"), *(F.col(c).alias(c + "a") for c in side))
+    y = opened.select("key", F.col("id").alias("b"), *(F.col(c).alias(c + "b") for c in side))
+    sizes = F.col("_na"), F.col("_nb")
+    known = F.col("_minusa").isNotNull() & F.col("_minusb").isNotNull()
+    most = (F.col("_npa") - F.greatest(F.size("_minusa"), F.size("_minusb"))
+            + F.least(F.size("_plusa"), F.size("_plusb")))
+    common = (F.col("_npa") - F.size(F.array_union("_minusa", "_minusb"))
+              + F.size(F.array_intersect("_plusa", "_plusb")))
+    # cheap bounds first; the exact test is a function of its own, which keeps the others' code small
+    may = (test.alike(F.least(*sizes), *sizes) & (F.abs(F.col("_da") - F.col("_db")) <= 1 - test.num / test.den + 1e-9)
+           & (~known | test.alike(most, *sizes)) & (fine_distance("_finea", "_fineb") <= test.fine_far)
+           & (~known | F.exists(F.array(F.lit(True)), lambda t: t & test.alike(common, *sizes))))
+    return (x.join(y, (x["key"] == y["key"]) & (F.col("_ca") < F.col("_cb")) & may)
+             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def crowd_links(opened: DataFrame, test: _Links) -> DataFrame:
     """``a, b, known``: links across components among the rows of each bucket of ``opened``, found exactly
     (``known``) or to be confirmed.
@@ -355,10 +375,11 @@ def links(docs: DataFrame, classes: DataFrame, *, id_col: str, text: str, width:
             central = (opened.groupBy("key", "_c").agg(F.count(F.lit(1)).alias("_k"), F.min("id").alias("_i"))
                              .groupBy("key").agg(F.max(F.struct("_k", "_i"))["_i"].alias("_p")))
             opened = stage(opened.filter(F.col("id") != F.col("_p")).select("b", "key", "id", "_c").join(central, "key"), "rest")
-            opened = opened.join(test.differences(opened), ["id", "_p"]).join(test.sigs, "id")
-            linked = stage(crowd_links(opened, test), "crowd-links")
+            of_key = opened.groupBy("key").agg(F.count(F.lit(1)).alias("_m"))
+            opened = opened.join(of_key, "key").join(test.differences(opened), ["id", "_p"]).join(test.sigs, "id")
+            linked = stage(crowd_links(opened.filter(F.col("_m") > FEW), test), "crowd-links")
             found = found.union(linked.filter("known").select("a", "b"))
-            more = linked.filter(~F.col("known")).select("a", "b").distinct()
+            more = few_links(opened.filter(F.col("_m") <= FEW), test).union(linked.filter(~F.col("known")).select("a", "b")).distinct()
         found = stage(found.union(test.confirm(more)), "found")
     return found
 

@@ -42,9 +42,11 @@ def test_corpus(docs, rows):
     check(docs, [r[:2] for r in rows], 3, 85, 100)
 
 
-@pytest.mark.parametrize("width, num", [(5, 80)])
-def test_crowds_chains_and_near_misses(spark, width, num):
+@pytest.mark.parametrize("width, num, crowd", [(5, 80, 512), (3, 85, 5)])
+def test_crowds_chains_and_near_misses(spark, monkeypatch, width, num, crowd):
     """Groups whose copies differ from each other by more than the limit, around one text or in a chain."""
+    monkeypatch.setattr(neardup, "FEW", 64 if crowd > 5 else 2)
+    monkeypatch.setattr(neardup, "CROWD", crowd)            # parts of five rows: many tasks a bucket
     rnd = random.Random(8)
     word = lambda: "w" + str(rnd.randint(0, 10 ** 6))
     docs = []
