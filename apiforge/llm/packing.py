@@ -161,6 +161,14 @@ def plan(hist: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS,
     return {f: cols[:, i].copy() for i, f in enumerate(_FIELDS)}, seqs
 
 
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
+def as_bytes(ids) -> bytes:
+    """Token ids as little-endian numbers of 4 bytes."""
+    return _PACKERS[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
+
+
 def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
                  tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = 0,
                  with_ids: bool = False) -> DataFrame:
@@ -169,11 +177,6 @@ def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
-    packers = [struct.Struct(f"<{n}I").pack for n in range(64)]
-
-    def as_bytes(ids) -> bytes:
-        return packers[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
-
     def cut(batches):
         c = tokens.coder(tokenizer, "ids", as_bytes)
         for b in batches:
