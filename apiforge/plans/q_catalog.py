@@ -140,10 +140,11 @@ def q_used_args(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", shape.alias("x")).select(
         "l_orderkey", "l_linenumber", F.col("x.s").alias("signature"),
         F.replace(F.col("x.c"), F.lit("#"), F.col("l_partkey").cast("string")).alias("api_call"))
-    # a call form is worked out once per distinct text and signature, then joined back
+    # a call form is worked out once per distinct text and signature, a signature once, then both are joined back
     forms = rows.select("signature", "api_call").distinct()
-    used = forms.join(C.call_path(forms), "api_call").select(
-        "signature", "api_call", C.used_args(F.col("signature"), F.col("n_pos"), F.col("kws")).alias("used"))
+    args = rows.select("signature").distinct().withColumn("args", C.signature_args(F.col("signature")))
+    used = forms.join(C.call_path(forms), "api_call").join(args, "signature").select(
+        "signature", "api_call", C.used_args(F.col("signature"), F.col("n_pos"), F.col("kws"), args=F.col("args")).alias("used"))
     return rows.join(used, ["signature", "api_call"])
 
 
