@@ -110,15 +110,15 @@ def later_copies(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
         here = (runs.filter((F.col("m") >= reach) & (F.col("m") < 2 * reach)).join(first, "pos")
                     .withColumn("_p2", F.col("pos") + F.col("m") - reach).join(last, "_p2"))
         origin = here.groupBy("m", "_r1", "_r2").agg(F.min("pos").alias("_origin"))
-        later = (salted_join(here, origin, ["m", "_r1", "_r2"]).filter(F.col("pos") > F.col("_origin"))
-                     .select("_id", "_th", "a", (F.col("a") + F.col("m")).alias("b")))
+        # written a round, so that the driver plans one round at a time
+        later = stage(salted_join(here, origin, ["m", "_r1", "_r2"]).filter(F.col("pos") > F.col("_origin"))
+                      .select("_id", "_th", "a", (F.col("a") + F.col("m")).alias("b")), "copies")
         copies = later if copies is None else copies.union(later)
         if 2 * reach <= longest:
             names = stage(doubled(names, reach), "names")
         reach *= 2
     if copies is None:
         copies = runs.select("_id", "_th", "a", (F.col("a") + F.col("m")).alias("b"))
-    copies = stage(copies, "copies")
     doc = Window.partitionBy("_id", "_th").orderBy("a", "b")
     merged = (copies.withColumn("_new", (F.col("a") > F.coalesce(
                         F.max("b").over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
