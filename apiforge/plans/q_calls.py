@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import resolve as R
 from ..operators import scan, sites
+from ..session import stage
 from .registry import query, table
 
 _CODE_SQL = r"""
@@ -258,5 +259,5 @@ def q_self_through_names(spark, sf):
     """C4 in classes whose own name is an imported module, a variable, an imported name, or made an object later."""
     p = table(spark, sf, "part")
     code = p.select(F.concat(F.lit("T/"), F.col("p_partkey").cast("string")).alias("task_id"), F.expr(_SELF_SQL).alias("code"))
-    refs, _ = R.resolve_references(scan.scan_code_facts(code))
+    refs, _ = R.resolve_references(stage(scan.scan_code_facts(code), "facts"))      # several lookups read them
     return R.dedupe_key_calls(refs).select("task_id", "api_key", "api_call")
