@@ -245,9 +245,12 @@ def attach_schemas(nested: DataFrame) -> DataFrame:
     has_children = F.coalesce("_has_children", F.lit(False))
     eligible = F.coalesce("_root_typed", F.lit(False)) & F.col("resolved") & \
         ((F.size("path") == 1) | ~has_children)
-    schema = F.when(eligible, S.schema_json(F.col("type"), F.col("signature")))
-    return j.withColumn("parameters_json", schema).withColumn("has_children", has_children) \
-            .drop("_has_children", "_root", "_root_typed")
+    # a signature is parsed once per distinct text
+    sigs = nested.where("resolved").select(F.col("type").alias("_t"), F.col("signature").alias("_g")).distinct()
+    sigs = sigs.withColumn("_schema", S.schema_json(F.col("_t"), F.col("_g")))
+    j = j.join(sigs, F.col("type").eqNullSafe(F.col("_t")) & F.col("signature").eqNullSafe(F.col("_g")), "left")
+    return j.withColumn("parameters_json", F.when(eligible, F.col("_schema"))).withColumn("has_children", has_children) \
+            .drop("_has_children", "_root", "_root_typed", "_t", "_g", "_schema")
 
 
 def flatten_nodes(schemas: DataFrame) -> DataFrame:
