@@ -36,8 +36,8 @@ BYTE_UNITS = _byte_units()
 _BLANK = chr(BYTE_UNITS[32])
 
 #: Longest pre-token that is kept in a cache, and how many a worker keeps in each of two generations (about
-#: 200 bytes each).
-CACHED_CHARS, CACHED_PIECES = 64, 500_000
+#: 260 bytes each with their place in the table).
+CACHED_CHARS, CACHED_PIECES = 64, 250_000
 #: Texts read at a time.
 TEXTS = 512
 
@@ -60,7 +60,8 @@ class Coder(dict):
     """Value of ``" " + piece`` by piece; computed by ``value(ids)`` on a miss.
 
     Values add up (``value(a + b) == value(a) + value(b)``), so a word and the signs
-    behind it are looked up apart.  A plain ``dict`` lookup serves known pieces.
+    behind it are looked up apart; both together are kept from the word's second time on, as most words of a
+    corpus come once.  A plain ``dict`` lookup serves known pieces.
     ``fixed`` entries (the broadcast tier) are never evicted; of the others two
     generations are kept, and what is used moves to the younger one.
     """
@@ -100,10 +101,6 @@ class Coder(dict):
             self[piece] = v
         return v
 
-    def _known(self, word: str):
-        v = self.get(word)
-        return v if v is not None else self._keep(word, self.old.get(word) or self.word(word))
-
     def __missing__(self, piece: str):
         v = self.old.get(piece)
         if v is None:
@@ -111,7 +108,13 @@ class Coder(dict):
                 v = self.word(piece)
             elif self.model is not None and (two := _WORD_SIGNS(piece)):
                 word, signs = two.groups()
-                v = self._known(word)
+                v = self.get(word)
+                if v is None:
+                    v = self.old.get(word)
+                    new = v is None
+                    v = self._keep(word, self.word(word) if new else v)
+                else:
+                    new = False
                 if signs:
                     more = self.signs.get(signs)
                     if more is None:
@@ -119,6 +122,8 @@ class Coder(dict):
                             self.signs.clear()
                         more = self.signs[signs] = self.of(signs)
                     v = v + more
+                if new or not signs:
+                    return v
             elif _CLEAN(piece):
                 v = self.of(" " + piece)
             else:

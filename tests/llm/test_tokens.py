@@ -35,6 +35,14 @@ def test_full_caches_and_fixed_tier(monkeypatch):
     assert "red" in c and len(c) <= 5
 
 
+def test_a_word_that_comes_once_is_one_entry():
+    c, words = tokens.Coder("byte_bpe_50k.json", packing.as_bytes), [f"w{'aeiou'[i % 5] * (i % 7 + 1)}{chr(97 + i // 35)}x" for i in range(350)]
+    text = "a " + " ".join(f"{w}," for w in words)
+    for entries in (len(words), 2 * len(words), 2 * len(words)):     # the second time its signs are kept too
+        assert c.total(text, b"".join) == packing.as_bytes(ids(text))
+        assert len(c) == entries
+
+
 @pytest.mark.parametrize("sample, table", [(2_000, 32_768), (1, 1)])
 def test_counts(docs, rows, sample, table):
     got = token_counts.count_tokens(docs, sample_docs=sample, table_size=table)
