@@ -87,6 +87,29 @@ def test_named_files(spark, tmp_path):
     assert {f for f in os.listdir(path) if not f.startswith("_")} == set(want)
 
 
+def test_small_files_are_written_by_many_tasks(spark):
+    rows = spark.range(400).select(F.concat("id", F.lit(".py")).alias("name"), F.lit("x").alias("text")).groupBy("name").agg(F.max("text").alias("text"))
+    dealt = task_files._dealt(rows).select(F.spark_partition_id().alias("p"), "name")
+    assert dealt.select("p").distinct().count() >= 2 * spark.sparkContext.defaultParallelism
+    assert dealt.select("name").distinct().count() == dealt.count() == 400
+
+
+def test_named_files_are_read_many_to_a_task(spark, tmp_path):
+    want = {f"{i:03}.py": f"print({i})\n# é" for i in range(130)} | {"_own.py": "", "big.py": "x" * 3_000_000, "bigger.py": "y" * 7_000_000}
+    for name, text in (want | {"other.txt": "not read"}).items():
+        (tmp_path / name).write_text(text)
+    (tmp_path / "folder.py").mkdir()
+    back = io.read_annotated_code(spark, str(tmp_path))
+    assert back.columns == ["task", "code"] and back.rdd.getNumPartitions() == 1
+    assert {r.task: r.code for r in back.collect()} == want
+    few = task_files.read_files(spark, f"file://{tmp_path}", ".py", files_per_task=50)
+    assert few.rdd.getNumPartitions() == 3 and sorted(r.name for r in few.select("name").collect()) == sorted(want)
+    assert task_files.read_files(spark, str(tmp_path), ".none").collect() == []
+    (tmp_path / "bad.py").write_bytes(b"\xff")
+    with pytest.raises(Exception, match="codec"):
+        io.read_annotated_code(spark, str(tmp_path)).collect()
+
+
 def test_completion_rounds(spark, tmp_path):
     reqs = spark.createDataFrame([(i, "t", f"p{i}") for i in range(6)], "id_num long, task_id string, prompt string")
     have = spark.createDataFrame([(0, "t")] * 7 + [(1, "t")] * 2, "id_num long, task_id string")
