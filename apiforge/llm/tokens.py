@@ -37,7 +37,7 @@ _BLANK = chr(BYTE_UNITS[32])
 
 #: Longest pre-token that is kept in a cache, and how many a worker keeps in each of two generations (about
 #: 260 bytes each with their place in the table).
-CACHED_CHARS, CACHED_PIECES = 64, 250_000
+CACHED_CHARS, CACHED_PIECES = 64, 350_000
 #: Texts read at a time.
 TEXTS = 512
 
