@@ -13,8 +13,8 @@ def _state(edges: DataFrame) -> tuple:
     return r[0], r[1]
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``node, component`` (the smallest node reachable) for all nodes of links ``a, b``.
+def stars(links: DataFrame) -> DataFrame:
+    """``a, b``: one link from every node ``b`` of links ``a, b`` to the smallest node reachable, if that is another.
 
     Every round is written; a round costs two groupings and two joins on the links, and
     their number grows with the logarithm of the longest chain.
@@ -36,6 +36,11 @@ def components(links: DataFrame) -> DataFrame:
         edges = stage(small, "small-star")
         before, state = state, _state(edges)
         if state == before:
-            break
+            return edges
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``node, component`` (the smallest node reachable) for all nodes of links ``a, b``."""
+    edges = stars(links)
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(
         edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

@@ -33,6 +33,7 @@ result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package, stage
 from .caches import only
-from .components import components
+from .components import stars
 
 HASHES, CHUNK, ERRORS = 24, 4, 1
 LANES = 3
@@ -137,8 +138,8 @@ def signed(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
         sign, "doc_id long, _key binary, n_shingles long, _sig array<long>")
 
 
-def sets(docs: DataFrame, ids: DataFrame, classes: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """``id, _set, _fine``: full shingle sets and longer signatures of the ``classes(id, _doc, _key)`` in ``ids`` (one
+def sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
+    """``id, _set, _fine``: full shingle sets and longer signatures of the classes ``wanted(id, _doc, _key)`` (one
     row each), from the texts of the documents ``_doc`` whose words are those of ``_key``."""
     longs = pa.list_(pa.int64())
 
@@ -151,8 +152,7 @@ def sets(docs: DataFrame, ids: DataFrame, classes: DataFrame, id_col: str, text:
                     [pa.array([i], pa.int64()), pa.array([_sequence(w)], pa.binary()), pa.array([s.view(np.int64)], longs),
                      pa.array([fine_signature(s)], longs)], names=["_doc", "_key", "_set", "_fine"])
 
-    wanted = classes.join(ids, "id", "left_semi").select("id", "_doc", "_key")
-    if ids.count() <= BROADCAST_IDS:
+    if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     rows = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text).alias("t")).join(wanted, "_doc", "left_semi")
     built = rows.mapInArrow(build, "_doc long, _key binary, _set array<long>, _fine array<long>")
@@ -225,7 +225,7 @@ def few_links(opened: DataFrame, test: _Links) -> DataFrame:
 
 
 def crowd_links(opened: DataFrame, test: _Links) -> DataFrame:
-    """``a, b, known``: links across components among the rows of each bucket of ``opened``, found exactly
+    """``a, b, known``: links across components among the ``_m`` rows of each bucket of ``opened``, found exactly
     (``known``) or to be confirmed.
 
     A bucket's rows are dealt to a task for each pair of its parts of ``CROWD`` rows.  A task joins components as it
@@ -292,10 +292,9 @@ def crowd_links(opened: DataFrame, test: _Links) -> DataFrame:
         a, b = np.array(out[0], np.int64), np.array(out[1], np.int64)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "known": pa.array(out[2], pa.bool_())})
 
-    parts = opened.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("_g"))
     own = F.col("_part")
     cells = F.transform(F.sequence(F.lit(0), F.col("_g") - 1), lambda k: F.struct(F.least(k, own).alias("_row"), F.greatest(k, own).alias("_col")))
-    dealt = (opened.join(parts, "key").withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_g")).cast("int"))
+    dealt = (opened.withColumn("_g", F.ceil(F.col("_m") / CROWD).cast("int")).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_g")).cast("int"))
                    .withColumn("_cell", F.explode(cells)).select("*", "_cell._row", "_cell._col").drop("_cell"))
     return dealt.groupBy("key", "_row", "_col").applyInArrow(find, "a long, b long, known boolean")
 
@@ -315,7 +314,9 @@ class _Links:
         return (pairs.join(a, "a").join(b, "b").filter(distance("_sa", "_sb") <= self.far).select("a", "b"))
 
     def sets(self, ids: DataFrame) -> DataFrame:
-        return stage(sets(self.docs, stage(ids.distinct(), "ids"), self.classes, *self.how), "sets")
+        # written, as both joins with the texts read it
+        wanted = stage(self.classes.join(ids.distinct(), "id", "left_semi"), "wanted")
+        return stage(sets(self.docs, wanted, *self.how), "sets")
 
     def alike(self, common, one, other):
         """Whether sets of these sizes with ``common`` members in common are linked."""
@@ -336,29 +337,38 @@ class _Links:
         return stage(both.select("id", "_p", "_fine", "_n", "_np", apart.alias("_d"), *(F.when(short, F.col(c)).alias(c) for c in ("_minus", "_plus"))),
                      "differences")
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
+    def confirm(self, pairs: DataFrame) -> DataFrame | None:
+        """The pairs that are links; None if there are no pairs."""
         pairs = stage(pairs, "candidates")
-        ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct())
-        full = self.sets(ids)
+        if pairs.isEmpty():
+            return None
+        full = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")))
         both = (pairs.join(full.select(F.col("id").alias("a"), F.col("_set").alias("_x")), "a")
                      .join(full.select(F.col("id").alias("b"), F.col("_set").alias("_y")), "b"))
         both = both.withColumn("_n", F.size(F.array_intersect("_x", "_y")))
         return stage(both.filter(self.alike(F.col("_n"), F.size("_x"), F.size("_y"))).select("a", "b"), "confirmed")
 
 
-def links(docs: DataFrame, classes: DataFrame, *, id_col: str, text: str, width: int, num: int, den: int) -> DataFrame:
-    """Links between ``classes`` (``id, _doc, _key, _sig``) that connect whatever any link would connect."""
+def linked(docs: DataFrame, classes: DataFrame, *, id_col: str, text: str, width: int, num: int, den: int) -> DataFrame:
+    """``id, _root`` of the ``classes`` (``id, _doc, _key, _sig``) that links join to a smaller one, the smallest
+    that any links reach.
+
+    The driver plans every job, so components go on from those of the round before instead of from all
+    links, and what several jobs read is written.
+    """
     test = _Links(docs, classes, id_col, text, width, num, den)
     rows = bucket_rows(classes)
-    stars = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_p")).filter(F.col("_n") > 1)
-    members = stage(rows.join(stars, "key"), "members")
+    first = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_p")).filter(F.col("_n") > 1)
+    members = stage(rows.join(first, "key"), "members")
     pairs = members.filter(F.col("id") > F.col("_p")).select(F.col("_p").alias("a"), F.col("id").alias("b"))
     found = test.confirm(test.near(pairs.distinct()))
+    if found is None:                                      # no class resembles another
+        return classes.select("id", F.col("id").alias("_root")).limit(0)
+    found = stars(found)
     crowd = members.filter(F.col("_n") > 2)                # buckets of two are settled
     for last in (False, True):
-        member = components(found)
-        labelled = crowd.join(member.withColumnRenamed("node", "id"), "id", "left") \
-                        .withColumn("_c", F.coalesce("component", "id")).drop("component")
+        labelled = crowd.join(found.select(F.col("b").alias("id"), F.col("a").alias("_root")), "id", "left") \
+                        .withColumn("_c", F.coalesce("_root", "id")).drop("_root")
         mixed = (labelled.groupBy("key").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi"),
                                              F.max(F.struct("_c", "id")).alias("_top"))
                          .filter(F.col("_lo") < F.col("_hi")).select("key", F.col("_top.id").alias("_q"),
@@ -366,22 +376,29 @@ def links(docs: DataFrame, classes: DataFrame, *, id_col: str, text: str, width:
         opened = stage(labelled.join(mixed, "key"), "open")
         if opened.isEmpty():                               # every bucket is one component
             break
+        known = None
         if not last:                                       # second pivot: the last class of the last component
             pairs = opened.filter((F.col("_c") < F.col("_qc")) & (F.col("id") != F.col("_p"))).select(
                 F.least("id", "_q").alias("a"), F.greatest("id", "_q").alias("b"))
             more = test.near(pairs.distinct())
         else:                                              # the rest: every pair across components
-            # the differences are taken from a class of the bucket's largest component
+            # the differences are taken from a class of the bucket's largest component; a bucket has its first pivot
+            # once, which is settled, and ``_m`` other rows
             central = (opened.groupBy("key", "_c").agg(F.count(F.lit(1)).alias("_k"), F.min("id").alias("_i"))
-                             .groupBy("key").agg(F.max(F.struct("_k", "_i"))["_i"].alias("_p")))
+                             .groupBy("key").agg(F.max(F.struct("_k", "_i"))["_i"].alias("_p"), (F.sum("_k") - 1).alias("_m")))
             opened = stage(opened.filter(F.col("id") != F.col("_p")).select("b", "key", "id", "_c").join(central, "key"), "rest")
-            of_key = opened.groupBy("key").agg(F.count(F.lit(1)).alias("_m"))
-            opened = opened.join(of_key, "key").join(test.differences(opened), ["id", "_p"]).join(test.sigs, "id")
-            linked = stage(crowd_links(opened.filter(F.col("_m") > FEW), test), "crowd-links")
-            found = found.union(linked.filter("known").select("a", "b"))
-            more = few_links(opened.filter(F.col("_m") <= FEW), test).union(linked.filter(~F.col("known")).select("a", "b")).distinct()
-        found = stage(found.union(test.confirm(more)), "found")
-    return found
+            few = opened.filter(F.col("_m") <= FEW).join(differences := test.differences(opened), ["id", "_p"])
+            crowds = opened.filter(F.col("_m") > FEW)
+            more = few_links(few, test)
+            if not crowds.isEmpty():
+                known = stage(crowd_links(crowds.join(differences, ["id", "_p"]).join(test.sigs, "id"), test), "crowd-links")
+                more = more.union(known.filter(~F.col("known")).select("a", "b"))
+                known = known.filter("known").select("a", "b")
+            more = more.distinct()
+        more = [x for x in (known, test.confirm(more)) if x is not None]
+        if more:
+            found = stars(reduce(DataFrame.union, more, found))
+    return found.select(F.col("b").alias("id"), F.col("a").alias("_root"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 3,
@@ -392,9 +409,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     classes = stage(rows.filter(F.col("_key").isNotNull() & F.col("doc_id").isNotNull())
                         .groupBy("_key").agg(F.min("doc_id").alias("_doc"), F.first("_sig").alias("_sig"))
                         .withColumn("id", F.monotonically_increasing_id()), "classes")
-    found = links(docs, classes, id_col=id_col, text=text, width=width, num=num, den=den)
-    of = (classes.select("_key", "id", "_doc").join(components(found).withColumnRenamed("node", "id"), "id", "left")
-                 .withColumn("component", F.coalesce("component", "id")))
+    found = linked(docs, classes, id_col=id_col, text=text, width=width, num=num, den=den)
+    of = (classes.select("_key", "id", "_doc").join(found, "id", "left")
+                 .withColumn("component", F.coalesce("_root", "id")))
     named = (of.join(of.groupBy("component").agg(F.min("_doc").alias("_c")), "component").select("_key", "_c"))
     out = rows.select("doc_id", "n_shingles", "_key").join(named, "_key", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id"))

@@ -241,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str
     if not got.num_rows:
         return None
     got = got.take(pa.array(np.argsort(got["_id"].to_numpy(zero_copy_only=False), kind="stable")))
-    x = np.array(got["x"].to_pylist(), np.float64)
+    x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, size)     # no Python object a number
     return train(x, got["_y"].to_numpy().astype(np.float64)) | {"vectors": vectors}
 
 

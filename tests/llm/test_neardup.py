@@ -1,10 +1,12 @@
 """Operator 10 against all pairs by brute force."""
 
 import random
+import re
 
 import pytest
 
 from apiforge.llm import components, neardup
+from apiforge.session import stage
 
 
 def shingle_set(text, width):
@@ -84,3 +86,29 @@ def test_components_of_long_chains(spark):
 
 def test_distance_bound():
     assert neardup.farthest(1.0) == 0 and 11 <= neardup.farthest(0.85) < neardup.farthest(0.8) <= 24
+
+
+def test_the_driver_plans_little(spark, monkeypatch):
+    """Every written table is a plan in the driver's memory: joins and groupings of all of them together, with each round
+    of pivots and a crowd."""
+    planned = []
+
+    def counted(df, label="rows"):
+        planned.append(len(re.findall(r"\b(?:Join|Aggregate) ", df._jdf.queryExecution().optimizedPlan().toString())))
+        return stage(df, label)
+
+    monkeypatch.setattr(neardup, "stage", counted)
+    monkeypatch.setattr(components, "stage", counted)
+    monkeypatch.setattr(neardup, "FEW", 2)
+    rnd = random.Random(8)
+    docs = []
+    for _ in range(3):
+        base = ["w" + str(rnd.randint(0, 10 ** 6)) for _ in range(200)]
+        for _ in range(12):
+            copy = list(base)
+            for _ in range(rnd.randint(0, 6)):
+                copy[rnd.randrange(len(copy))] = "w" + str(rnd.randint(0, 10 ** 6))
+            docs.append(copy)
+    rows = [(i, " ".join(t)) for i, t in enumerate(docs)]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows, 5, 80, 100)
+    assert sum(planned) <= 100

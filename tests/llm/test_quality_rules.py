@@ -143,3 +143,19 @@ def test_rules_without_trusted_or_rows(spark, docs, no_docs):
 def test_rules_run_no_python(docs, spark):
     plan = rules.judge(docs, spark.createDataFrame([(1,)], "_id long"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_fit_makes_no_object_a_number(spark):
+    """The driver learns from the collected vectors themselves, not from Python numbers (32 bytes each)."""
+    import tracemalloc
+
+    n = 3_000
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('word', id % 7, ' and ', id % 11, ' more') as text")
+    labels = spark.range(n).selectExpr("id as doc_id", "cast(id % 7 < 3 as int) as quality")
+    tracemalloc.start()
+    try:
+        quality.fit(docs, labels, buckets=64)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 4 * n * quality.width(quality.DIM) * 8
