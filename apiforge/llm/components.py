@@ -8,35 +8,34 @@ from pyspark.sql import functions as F
 from ..session import stage
 
 
-def _state(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return r[0], r[1]
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node that links ``a, b`` (a < b) lead to has no other link: their nodes ``a`` are then the smallest reachable."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(0).alias("up")),
+                                          F.struct(F.col("b").alias("v"), F.lit(1).alias("up")))).alias("e")).select("e.*")
+    nodes = ends.groupBy("v").agg(F.sum("up").alias("up"), F.count(F.lit(1)).alias("n"))
+    return not nodes.filter((F.col("up") > 0) & (F.col("n") > 1)).agg(F.count(F.lit(1))).first()[0]
 
 
 def stars(links: DataFrame) -> DataFrame:
     """``a, b``: one link from every node ``b`` of links ``a, b`` to the smallest node reachable, if that is another.
 
-    Every round is written; a round costs two groupings and two joins on the links, and
-    their number grows with the logarithm of the longest chain.
+    Every round is one written table; a round costs two groupings and two joins on the links, and
+    their number grows with the logarithm of the longest chain.  Links that are stars need no further round.
     """
     edges = stage(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                        .filter(F.col("a") < F.col("b")).distinct(), "links")
-    state = _state(edges)
-    while True:
+    while not _are_stars(edges):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = (both.join(low, "a").filter(F.col("b") > F.col("a"))
                      .select(F.col("m").alias("a"), "b").filter(F.col("a") < F.col("b")).distinct())
-        large = stage(large, "large-star")
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
+        low = large.groupBy("b").agg(F.min("a").alias("m"))     # both read one shuffle of the large star
         small = (large.join(low, "b")
                       .select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")),
                                                 F.struct(F.col("m").alias("a"), F.col("b").alias("b")))).alias("e"))
                       .select("e.*").filter(F.col("a") < F.col("b")).distinct())
-        edges = stage(small, "small-star")
-        before, state = state, _state(edges)
-        if state == before:
-            return edges
+        edges = stage(small, "stars")
+    return edges
 
 
 def components(links: DataFrame) -> DataFrame:

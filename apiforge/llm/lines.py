@@ -26,6 +26,8 @@ order; an empty table gives an empty result; other columns do not matter.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,22 +105,23 @@ def later_copies(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     runs = stage(runs.select("_id", "_th", "a", (F.col("_base") + F.col("a")).alias("pos"),
                              (F.col("b") - F.col("a") + 1).cast("long").alias("m")), "runs")
     longest = runs.agg(F.max("m")).first()[0] or 0
-    copies, reach = None, 1
-    while reach <= longest:
-        first = names.select("pos", F.col("name").alias("_r1"))
-        last = names.select(F.col("pos").alias("_p2"), F.col("name").alias("_r2"))
-        here = (runs.filter((F.col("m") >= reach) & (F.col("m") < 2 * reach)).join(first, "pos")
-                    .withColumn("_p2", F.col("pos") + F.col("m") - reach).join(last, "_p2"))
-        origin = here.groupBy("m", "_r1", "_r2").agg(F.min("pos").alias("_origin"))
-        # written a round, so that the driver plans one round at a time
-        later = stage(salted_join(here, origin, ["m", "_r1", "_r2"]).filter(F.col("pos") > F.col("_origin"))
-                      .select("_id", "_th", "a", (F.col("a") + F.col("m")).alias("b")), "copies")
-        copies = later if copies is None else copies.union(later)
-        if 2 * reach <= longest:
-            names = stage(doubled(names, reach), "names")
+    rounds, reach = [names], 1
+    while 2 * reach <= longest:
+        rounds.append(stage(doubled(rounds[-1], reach), "names"))
         reach *= 2
-    if copies is None:
-        copies = runs.select("_id", "_th", "a", (F.col("a") + F.col("m")).alias("b"))
+    # the runs of all lengths meet their rounds' names in one pass, so the driver's plans do not multiply by the rounds
+    of_round = [F.lit(k).alias("_round") for k in range(len(rounds))]
+    names = reduce(DataFrame.union, [n.select(k, "pos", "name") for k, n in zip(of_round, rounds)])
+    first = names.select("_round", "pos", F.col("name").alias("_r1"))
+    last = names.select("_round", F.col("pos").alias("_p2"), F.col("name").alias("_r2"))
+    fits = sum((F.col("m") >= 1 << k).cast("int") for k in range(1, len(rounds))) if len(rounds) > 1 else F.lit(0)
+    reach = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_round"))
+    here = (runs.withColumn("_round", fits).withColumn("_p2", F.col("pos") + F.col("m") - reach)
+                .join(first, ["_round", "pos"]).join(last, ["_round", "_p2"]))
+    here = stage(here.select("_id", "_th", "a", "pos", "m", "_r1", "_r2"), "ends")
+    origin = here.groupBy("m", "_r1", "_r2").agg(F.min("pos").alias("_origin"))
+    copies = (salted_join(here, origin, ["m", "_r1", "_r2"]).filter(F.col("pos") > F.col("_origin"))
+              .select("_id", "_th", "a", (F.col("a") + F.col("m")).alias("b")))
     doc = Window.partitionBy("_id", "_th").orderBy("a", "b")
     merged = (copies.withColumn("_new", (F.col("a") > F.coalesce(
                         F.max("b").over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))

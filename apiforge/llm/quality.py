@@ -170,7 +170,8 @@ def pooled(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 def train(x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, epochs: int = EPOCHS) -> dict:
     """Two-layer network (Adam, weight decay) and its temperature."""
     mean, std = x.mean(0), x.std(0) + 1e-6
-    z = (x - mean) / std
+    z = x - mean
+    z /= std
     rng = np.random.RandomState(SEED)
     order = rng.permutation(len(z))
     unseen, seen = order[:len(z) // 6], order[len(z) // 6:]
@@ -240,9 +241,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str
                .mapInArrow(pool, f"_id {kind}, _y int, x array<double>").toArrow())
     if not got.num_rows:
         return None
-    got = got.take(pa.array(np.argsort(got["_id"].to_numpy(zero_copy_only=False), kind="stable")))
-    x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, size)     # no Python object a number
-    return train(x, got["_y"].to_numpy().astype(np.float64)) | {"vectors": vectors}
+    order = np.argsort(got["_id"].to_numpy(zero_copy_only=False), kind="stable")
+    y = got["_y"].to_numpy().astype(np.float64)[order]
+    x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, size)[order]     # no Python object a number
+    del got
+    pa.default_memory_pool().release_unused()        # the driver keeps one copy of the vectors
+    return train(x, y) | {"vectors": vectors}
 
 
 def score(docs: DataFrame, model: dict | None, *, text: str = "text", buckets: int = BUCKETS) -> DataFrame:

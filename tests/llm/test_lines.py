@@ -1,10 +1,12 @@
 """Operator 4 against all runs by brute force."""
 
 import random
+import re
 
 import pytest
 
 from apiforge.llm import lines
+from apiforge.session import stage
 
 
 def plain(docs, min_words):
@@ -41,3 +43,24 @@ def test_corpus(docs, rows):
 
 def test_nothing(no_docs):
     assert lines.deduped_rows(no_docs).collect() == []
+
+
+def test_the_driver_plans_little(spark, monkeypatch):
+    """Every written table is a plan in the driver's memory: joins and groupings of all of them together, with runs of
+    one to more than 32 lines."""
+    planned = []
+
+    def counted(df, label="rows"):
+        planned.append(len(re.findall(r"\b(?:Join|Aggregate) ", df._jdf.queryExecution().optimizedPlan().toString())))
+        return stage(df, label)
+
+    monkeypatch.setattr(lines, "stage", counted)
+    rnd = random.Random(9)
+    single = [f"w{rnd.randint(0, 10 ** 6)}" for _ in range(45)]
+    several = [" ".join(single[rnd.randrange(45)] for _ in range(rnd.choice([3, 12, 60]))) for _ in range(12)]
+    docs = [(i, "\n".join([f"own {i}", *body, "end"])) for i, body in
+            enumerate([single, several, single[3:], several[2:], several[:9] + single, ["x"] * 45, ["x"] * 44])]
+    got = {r.doc_id: (r.n_lines, r.n_deleted, r.text) for r in
+           lines.deduped_rows(spark.createDataFrame(docs, "doc_id long, text string"), min_words=40).collect()}
+    assert got == plain(docs, 40)
+    assert any(n for _, n, _ in got.values()) and sum(planned) <= 36

@@ -84,6 +84,21 @@ def test_components_of_long_chains(spark):
     assert len(got) == n + 5
 
 
+def test_stars_need_no_round(spark, monkeypatch):
+    written = []
+
+    def counted(df, label="rows"):
+        written.append(label)
+        return stage(df, label)
+
+    monkeypatch.setattr(components, "stage", counted)
+    for links, tables in (([(1, 2), (3, 1), (5, 7), (5, 7), (4, 4)], 1), ([(1, 2), (3, 2), (5, 7)], 2)):
+        written.clear()
+        got = components.stars(spark.createDataFrame(links, "a long, b long")).collect()
+        assert sorted(map(tuple, got)) == [(1, 2), (1, 3), (5, 7)]
+        assert len(written) <= tables
+
+
 def test_distance_bound():
     assert neardup.farthest(1.0) == 0 and 11 <= neardup.farthest(0.85) < neardup.farthest(0.8) <= 24
 

@@ -159,3 +159,20 @@ def test_fit_makes_no_object_a_number(spark):
     finally:
         tracemalloc.stop()
     assert peak < 4 * n * quality.width(quality.DIM) * 8
+
+
+def test_fit_keeps_one_copy_of_the_vectors(spark, monkeypatch):
+    import pyarrow as pa
+
+    n, held = 3_000, []
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('word', id % 7, ' and ', id % 11, ' more') as text")
+    labels = spark.range(n).selectExpr("id as doc_id", "cast(id % 7 < 3 as int) as quality")
+    before, train = pa.total_allocated_bytes(), quality.train
+
+    def trained(x, y):
+        held.append(pa.total_allocated_bytes() - before)
+        return train(x, y)
+
+    monkeypatch.setattr(quality, "train", trained)
+    assert quality.fit(docs, labels, buckets=64)["w"]
+    assert held[0] < n * quality.width(quality.DIM) * 8 // 2
