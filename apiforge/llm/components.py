@@ -19,8 +19,8 @@ def _are_stars(edges: DataFrame) -> bool:
 def stars(links: DataFrame) -> DataFrame:
     """``a, b``: one link from every node ``b`` of links ``a, b`` to the smallest node reachable, if that is another.
 
-    Every round is one written table; a round costs two groupings and two joins on the links, and
-    their number grows with the logarithm of the longest chain.  Links that are stars need no further round.
+    Every round is one written table, whose plan may work out the large star twice; the number of rounds grows
+    with the logarithm of the longest chain.  Links that are stars need no further round.
     """
     edges = stage(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                        .filter(F.col("a") < F.col("b")).distinct(), "links")
@@ -29,7 +29,7 @@ def stars(links: DataFrame) -> DataFrame:
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = (both.join(low, "a").filter(F.col("b") > F.col("a"))
                      .select(F.col("m").alias("a"), "b").filter(F.col("a") < F.col("b")).distinct())
-        low = large.groupBy("b").agg(F.min("a").alias("m"))     # both read one shuffle of the large star
+        low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = (large.join(low, "b")
                       .select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")),
                                                 F.struct(F.col("m").alias("a"), F.col("b").alias("b")))).alias("e"))
