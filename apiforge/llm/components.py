@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import shuffled, stage
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -27,10 +27,10 @@ def stars(links: DataFrame) -> DataFrame:
     while not _are_stars(edges):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = (both.join(low, "a").filter(F.col("b") > F.col("a"))
+        large = (both.join(shuffled(low), "a").filter(F.col("b") > F.col("a"))
                      .select(F.col("m").alias("a"), "b").filter(F.col("a") < F.col("b")).distinct())
         low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = (large.join(low, "b")
+        small = (large.join(shuffled(low), "b")
                       .select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")),
                                                 F.struct(F.col("m").alias("a"), F.col("b").alias("b")))).alias("e"))
                       .select("e.*").filter(F.col("a") < F.col("b")).distinct())

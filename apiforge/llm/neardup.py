@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package, stage
+from ..session import ship_package, shuffled, stage
 from .caches import only
 from .components import stars
 
@@ -52,7 +52,8 @@ FINE, FINE_LANES = 252, 63
 #: Rows of a bucket that one join settles; those of larger ones (crowds) are dealt to parts of ``CROWD`` rows, and a
 #: task compares two parts.
 FEW, CROWD = 64, 512
-#: Up to so many ids their list is broadcast to filter texts (8 MB); beyond, joined.
+#: Up to so many ids their list is broadcast to filter texts (64 MB in memory, 8 bytes of key and 24 of row in tables of
+#: up to twice that); beyond, joined.  No other join is a broadcast, whatever Spark takes a table's size for.
 BROADCAST_IDS = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.RandomState(10)
@@ -152,11 +153,12 @@ def sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, width: int)
                     [pa.array([i], pa.int64()), pa.array([_sequence(w)], pa.binary()), pa.array([s.view(np.int64)], longs),
                      pa.array([fine_signature(s)], longs)], names=["_doc", "_key", "_set", "_fine"])
 
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    rows = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text).alias("t")).join(wanted, "_doc", "left_semi")
+    ids = wanted.select("_doc")
+    ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else shuffled(ids)
+    rows = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text).alias("t")).join(ids, "_doc", "left_semi")
     built = rows.mapInArrow(build, "_doc long, _key binary, _set array<long>, _fine array<long>")
-    return built.join(wanted, ["_doc", "_key"]).select("id", "_set", "_fine").dropDuplicates(["id"])
+    # a class is one pair of document and key: repeats go and ids come by one shuffle of the sets
+    return built.dropDuplicates(["_doc", "_key"]).join(shuffled(wanted), ["_doc", "_key"]).select("id", "_set", "_fine")
 
 
 def distance(a, b):
@@ -220,7 +222,7 @@ def few_links(opened: DataFrame, test: _Links) -> DataFrame:
     may = (test.alike(F.least(*sizes), *sizes) & (F.abs(F.col("_da") - F.col("_db")) <= 1 - test.num / test.den + 1e-9)
            & (~known | test.alike(most, *sizes)) & (fine_distance("_finea", "_fineb") <= test.fine_far)
            & (~known | F.exists(F.array(F.lit(True)), lambda t: t & test.alike(common, *sizes))))
-    return (x.join(y, (x["key"] == y["key"]) & (F.col("_ca") < F.col("_cb")) & may)
+    return (x.join(shuffled(y), (x["key"] == y["key"]) & (F.col("_ca") < F.col("_cb")) & may)
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
@@ -311,11 +313,11 @@ class _Links:
     def near(self, pairs: DataFrame) -> DataFrame:
         a = self.sigs.select(F.col("id").alias("a"), F.col("_sig").alias("_sa"))
         b = self.sigs.select(F.col("id").alias("b"), F.col("_sig").alias("_sb"))
-        return (pairs.join(a, "a").join(b, "b").filter(distance("_sa", "_sb") <= self.far).select("a", "b"))
+        return (pairs.join(shuffled(a), "a").join(shuffled(b), "b").filter(distance("_sa", "_sb") <= self.far).select("a", "b"))
 
     def sets(self, ids: DataFrame) -> DataFrame:
         # written, as both joins with the texts read it
-        wanted = stage(self.classes.join(ids.distinct(), "id", "left_semi"), "wanted")
+        wanted = stage(self.classes.join(shuffled(ids.distinct()), "id", "left_semi"), "wanted")
         return stage(sets(self.docs, wanted, *self.how), "sets")
 
     def alike(self, common, one, other):
@@ -327,8 +329,8 @@ class _Links:
         pivot's set (null where these are longer than the pivot's set), both sizes and the Jaccard distance."""
         pairs = stage(members.select("id", "_p").distinct(), "members-of")
         full = self.sets(pairs.select("id").union(pairs.select(F.col("_p").alias("id"))))
-        both = (pairs.join(full, "id")
-                     .join(full.select(F.col("id").alias("_p"), F.col("_set").alias("_of")), "_p"))
+        both = (pairs.join(shuffled(full), "id")
+                     .join(shuffled(full.select(F.col("id").alias("_p"), F.col("_set").alias("_of"))), "_p"))
         minus, plus = F.array_except("_of", "_set"), F.array_except("_set", "_of")
         both = both.select("id", "_p", "_fine", F.size("_set").alias("_n"), F.size("_of").alias("_np"),
                            minus.alias("_minus"), plus.alias("_plus"))
@@ -343,8 +345,8 @@ class _Links:
         if pairs.isEmpty():
             return None
         full = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")))
-        both = (pairs.join(full.select(F.col("id").alias("a"), F.col("_set").alias("_x")), "a")
-                     .join(full.select(F.col("id").alias("b"), F.col("_set").alias("_y")), "b"))
+        both = (pairs.join(shuffled(full.select(F.col("id").alias("a"), F.col("_set").alias("_x"))), "a")
+                     .join(shuffled(full.select(F.col("id").alias("b"), F.col("_set").alias("_y"))), "b"))
         both = both.withColumn("_n", F.size(F.array_intersect("_x", "_y")))
         return stage(both.filter(self.alike(F.col("_n"), F.size("_x"), F.size("_y"))).select("a", "b"), "confirmed")
 
@@ -359,7 +361,7 @@ def linked(docs: DataFrame, classes: DataFrame, *, id_col: str, text: str, width
     test = _Links(docs, classes, id_col, text, width, num, den)
     rows = bucket_rows(classes)
     first = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_p")).filter(F.col("_n") > 1)
-    members = stage(rows.join(first, "key"), "members")
+    members = stage(rows.join(shuffled(first), "key"), "members")
     pairs = members.filter(F.col("id") > F.col("_p")).select(F.col("_p").alias("a"), F.col("id").alias("b"))
     found = test.confirm(test.near(pairs.distinct()))
     if found is None:                                      # no class resembles another
@@ -367,13 +369,13 @@ def linked(docs: DataFrame, classes: DataFrame, *, id_col: str, text: str, width
     found = stars(found)
     crowd = members.filter(F.col("_n") > 2)                # buckets of two are settled
     for last in (False, True):
-        labelled = crowd.join(found.select(F.col("b").alias("id"), F.col("a").alias("_root")), "id", "left") \
+        labelled = crowd.join(shuffled(found.select(F.col("b").alias("id"), F.col("a").alias("_root"))), "id", "left") \
                         .withColumn("_c", F.coalesce("_root", "id")).drop("_root")
         mixed = (labelled.groupBy("key").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi"),
                                              F.max(F.struct("_c", "id")).alias("_top"))
                          .filter(F.col("_lo") < F.col("_hi")).select("key", F.col("_top.id").alias("_q"),
                                                                     F.col("_hi").alias("_qc")))
-        opened = stage(labelled.join(mixed, "key"), "open")
+        opened = stage(labelled.join(shuffled(mixed), "key"), "open")
         if opened.isEmpty():                               # every bucket is one component
             break
         known = None
@@ -386,12 +388,13 @@ def linked(docs: DataFrame, classes: DataFrame, *, id_col: str, text: str, width
             # once, which is settled, and ``_m`` other rows
             central = (opened.groupBy("key", "_c").agg(F.count(F.lit(1)).alias("_k"), F.min("id").alias("_i"))
                              .groupBy("key").agg(F.max(F.struct("_k", "_i"))["_i"].alias("_p"), (F.sum("_k") - 1).alias("_m")))
-            opened = stage(opened.filter(F.col("id") != F.col("_p")).select("b", "key", "id", "_c").join(central, "key"), "rest")
-            few = opened.filter(F.col("_m") <= FEW).join(differences := test.differences(opened), ["id", "_p"])
+            opened = stage(opened.filter(F.col("id") != F.col("_p")).select("b", "key", "id", "_c").join(shuffled(central), "key"), "rest")
+            differences = shuffled(test.differences(opened))
+            few = opened.filter(F.col("_m") <= FEW).join(differences, ["id", "_p"])
             crowds = opened.filter(F.col("_m") > FEW)
             more = few_links(few, test)
             if not crowds.isEmpty():
-                known = stage(crowd_links(crowds.join(differences, ["id", "_p"]).join(test.sigs, "id"), test), "crowd-links")
+                known = stage(crowd_links(crowds.join(differences, ["id", "_p"]).join(shuffled(test.sigs), "id"), test), "crowd-links")
                 more = more.union(known.filter(~F.col("known")).select("a", "b"))
                 known = known.filter("known").select("a", "b")
             more = more.distinct()
@@ -410,10 +413,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
                         .groupBy("_key").agg(F.min("doc_id").alias("_doc"), F.first("_sig").alias("_sig"))
                         .withColumn("id", F.monotonically_increasing_id()), "classes")
     found = linked(docs, classes, id_col=id_col, text=text, width=width, num=num, den=den)
-    of = (classes.select("_key", "id", "_doc").join(found, "id", "left")
+    of = (classes.select("_key", "id", "_doc").join(shuffled(found), "id", "left")
                  .withColumn("component", F.coalesce("_root", "id")))
-    named = (of.join(of.groupBy("component").agg(F.min("_doc").alias("_c")), "component").select("_key", "_c"))
-    out = rows.select("doc_id", "n_shingles", "_key").join(named, "_key", "left")
+    named = of.join(shuffled(of.groupBy("component").agg(F.min("_doc").alias("_c"))), "component").select("_key", "_c")
+    out = rows.select("doc_id", "n_shingles", "_key").join(shuffled(named), "_key", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id"))
     return (out.withColumn("component_id", own)
                .select(F.col("doc_id").alias(id_col), "n_shingles", "component_id",

@@ -127,3 +127,31 @@ def test_the_driver_plans_little(spark, monkeypatch):
     rows = [(i, " ".join(t)) for i, t in enumerate(docs)]
     check(spark.createDataFrame(rows, "doc_id long, text string"), rows, 5, 80, 100)
     assert sum(planned) <= 100
+
+
+def test_no_join_is_broadcast_by_an_estimate(spark, monkeypatch):
+    """Spark takes the exploded keys of the classes, and ids, for a small part of what they are in memory: only the marked list of
+    ids may reach the driver."""
+    planned = []
+
+    def seen(df, label="rows"):
+        planned.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return stage(df, label)
+
+    monkeypatch.setattr(neardup, "stage", seen)
+    monkeypatch.setattr(components, "stage", seen)
+    monkeypatch.setattr(neardup, "FEW", 2)
+    rnd = random.Random(8)
+    base = ["w" + str(rnd.randint(0, 10 ** 6)) for _ in range(200)]
+    rows = []
+    for i in range(12):
+        copy = list(base)
+        for _ in range(rnd.randint(0, 6)):
+            copy[rnd.randrange(len(copy))] = "w" + str(rnd.randint(0, 10 ** 6))
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check(docs, rows, 5, 80, 100)
+    planned.append(("result", neardup.near_duplicates(docs)._jdf.queryExecution().executedPlan().toString()))
+    assert {"members", "candidates", "sets", "differences", "crowd-links", "result"} <= {label for label, _ in planned}
+    assert {label: plan.count("BroadcastExchange") for label, plan in planned if "BroadcastExchange" in plan and label != "sets"} == {}
+    assert all(plan.count("BroadcastExchange") == 1 for label, plan in planned if label == "sets")
