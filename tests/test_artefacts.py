@@ -2,6 +2,7 @@
 
 import json
 import os
+import threading
 import time
 
 import pytest
@@ -94,6 +95,33 @@ def test_small_files_are_written_by_many_tasks(spark):
     assert dealt.select("name").distinct().count() == dealt.count() == 400
 
 
+def test_files_are_overwritten_without_a_second_copy(spark, tmp_path):
+    """A small file takes a block of the disk, so the files of a second write must not all stand beside those of the first."""
+    n, most, done = 2_000, [0], threading.Event()
+    rows = spark.range(n).select(F.concat("id", F.lit(".py")).alias("name"), F.lit("old").alias("text"))
+    assert task_files.write_files(rows, str(tmp_path)) == n
+
+    def count():
+        while not done.is_set():
+            most[0] = max(most[0], sum(len(files) for _, _, files in os.walk(tmp_path)))
+
+    counting = threading.Thread(target=count)
+    counting.start()
+    try:
+        assert task_files.write_files(rows.withColumn("text", F.lit("new")), str(tmp_path)) == n
+    finally:
+        done.set()
+        counting.join()
+    assert n <= most[0] <= n + 200
+    assert sorted(os.listdir(tmp_path)) == sorted(f"{i}.py" for i in range(n))
+    assert {(tmp_path / f"{i}.py").read_text() for i in range(n)} == {"new"}
+    (tmp_path / "last.py").mkdir()
+    (tmp_path / "last.py" / "in the way").write_text("")
+    with pytest.raises(Exception, match="in the way|[Dd]irectory"):
+        task_files.write_files(spark.createDataFrame([("last.py", "x")], "name string, text string"), str(tmp_path))
+    assert not [f for f in os.listdir(tmp_path) if f.startswith("_")]
+
+
 def test_named_files_are_read_many_to_a_task(spark, tmp_path):
     want = {f"{i:03}.py": f"print({i})\n# é" for i in range(130)} | {"_own.py": "", "big.py": "x" * 3_000_000, "bigger.py": "y" * 7_000_000}
     for name, text in (want | {"other.txt": "not read"}).items():
