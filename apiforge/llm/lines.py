@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.numbering import assign_id_num
-from ..session import stage
+from ..session import shuffled, stage
 
 MIN_WORDS, SALTS = 50, 16
 WORD = r"[^\x20\x09-\x0D]+"
@@ -69,7 +69,7 @@ def line_table(docs: DataFrame, id_col: str, text: str, min_words: int) -> DataF
 def salted_join(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` joined with a table of one row per key; a hot key's rows go to ``SALTS`` tasks."""
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod("pos", F.lit(SALTS)).cast("int")).join(copies, [*keys, "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", F.pmod("pos", F.lit(SALTS)).cast("int")).join(shuffled(copies), [*keys, "_salt"]).drop("_salt")
 
 
 def named(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,7 +85,7 @@ def doubled(names: DataFrame, reach: int) -> DataFrame:
     A pair that crosses a document's end is harmless: no run reaches over it.
     """
     after = names.select((F.col("pos") - reach).alias("pos"), F.col("name").alias("_then"))
-    return named(names.withColumnRenamed("name", "_first").join(after, "pos"), ["_first", "_then"])
+    return named(names.withColumnRenamed("name", "_first").join(shuffled(after), "pos"), ["_first", "_then"])
 
 
 def later_copies(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
@@ -98,7 +98,7 @@ def later_copies(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     ends = F.explode(F.array(
         F.struct(F.col("i").alias("a"), F.col("_to").alias("b")),
         F.struct(F.col("_from").alias("a"), F.col("i").alias("b"))))
-    runs = (lines.join(names.select("pos"), "pos", "left_semi")         # a run's own line must repeat
+    runs = (lines.join(shuffled(names.select("pos")), "pos", "left_semi")         # a run's own line must repeat
                  .select("_id", "_th", (F.col("pos") - F.col("i")).alias("_base"), ends.alias("_e"))
                  .select("_id", "_th", "_base", "_e.*").filter(F.col("a").isNotNull() & F.col("b").isNotNull())
                  .distinct())
@@ -117,7 +117,7 @@ def later_copies(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     fits = sum((F.col("m") >= 1 << k).cast("int") for k in range(1, len(rounds))) if len(rounds) > 1 else F.lit(0)
     reach = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_round"))
     here = (runs.withColumn("_round", fits).withColumn("_p2", F.col("pos") + F.col("m") - reach)
-                .join(first, ["_round", "pos"]).join(last, ["_round", "_p2"]))
+                .join(shuffled(first), ["_round", "pos"]).join(shuffled(last), ["_round", "_p2"]))
     here = stage(here.select("_id", "_th", "a", "pos", "m", "_r1", "_r2"), "ends")
     origin = here.groupBy("m", "_r1", "_r2").agg(F.min("pos").alias("_origin"))
     copies = (salted_join(here, origin, ["m", "_r1", "_r2"]).filter(F.col("pos") > F.col("_origin"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apiforge.llm import lines, mixing, neardup, packing, quality
-from apiforge.session import read_table, stage
+from apiforge.session import read_table, shuffled, stage
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,13 +50,13 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = stage(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*docs.columns).alias("_doc")), "rows")
     found = neardup.near_duplicates(rows.select("_row", F.col("_doc.text").alias("text")), id_col="_row", width=5, num=80, den=100)
     found = stage(found.select("_row", "component_id"), "components")
-    ids = found.join(rows.select("_row", F.col("_doc.doc_id").alias("_id")), "_row")
+    ids = shuffled(found).join(rows.select("_row", F.col("_doc.doc_id").alias("_id")), "_row")
     first = ids.groupBy("component_id").agg(
         F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_row"))["_row"].alias("_first"),
         F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
-    gone = stage(ids.join(first, "component_id").filter(F.col("_row") != F.col("_first")).select("_row"), "gone")
+    gone = stage(ids.join(shuffled(first), "component_id").filter(F.col("_row") != F.col("_first")).select("_row"), "gone")
     small = gone.count() <= neardup.BROADCAST_IDS
-    return rows.join(F.broadcast(gone) if small else gone, "_row", "left_anti").select("_doc.*")
+    return rows.join(F.broadcast(gone) if small else shuffled(gone), "_row", "left_anti").select("_doc.*")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,3 +64,23 @@ def test_the_driver_plans_little(spark, monkeypatch):
            lines.deduped_rows(spark.createDataFrame(docs, "doc_id long, text string"), min_words=40).collect()}
     assert got == plain(docs, 40)
     assert any(n for _, n, _ in got.values()) and sum(planned) <= 36
+
+
+def test_no_join_is_broadcast_by_an_estimate(spark, monkeypatch):
+    """Spark takes exploded rows and positions for a small part of what they are in memory: none may reach the driver."""
+    planned = []
+
+    def seen(df, label="rows"):
+        planned.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return stage(df, label)
+
+    monkeypatch.setattr(lines, "stage", seen)
+    rnd = random.Random(4)
+    run = [f"line {rnd.randint(0, 10 ** 6)}" for _ in range(12)]
+    docs = [(i, "\n".join([f"own {i}", *run, f"end {i}"])) for i in range(6)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = lines.deduped_rows(df, min_words=3)
+    assert {r.doc_id: (r.n_lines, r.n_deleted, r.text) for r in out.collect()} == plain(docs, 3)
+    assert {"names", "runs", "ends"} <= {label for label, _ in planned}
+    # the numbering of lines broadcasts a row for each partition; the result joins a join, whose size is taken for a product
+    assert [label for label, plan in planned if "BroadcastExchange" in plan and label != "positions"] == []

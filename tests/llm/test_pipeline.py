@@ -8,6 +8,7 @@ import pytest
 from conftest import DOCS, prose
 
 from apiforge.llm import neardup
+from apiforge.session import stage
 
 STAGES = dict(corpus_pipeline.STAGES)
 A, B, C = (prose(random.Random(k), 80) for k in (1, 2, 3))
@@ -69,3 +70,20 @@ def test_odd_rows(spark, tmp_path, name, rows):
     assert all(n <= ids[i] * (2 if name == "mixing sources" else 1) for i, n in Counter(r.doc_id for r in got).items())
     if name == "line dedup":
         assert {(r.doc_id, r.text) for r in got if r.text is None or not r.text.strip()} == {x for x in texts if x[1] is None or not x[1].strip()}
+
+
+def test_near_stage_broadcasts_marked_ids_only(spark, monkeypatch):
+    planned = []
+
+    def seen(df, label="rows"):
+        planned.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return stage(df, label)
+
+    monkeypatch.setattr(corpus_pipeline, "stage", seen)
+    docs = table(spark, [(1, A), (5, A), (5, B)], 2)
+    for most, broadcasts in ((neardup.BROADCAST_IDS, 1), (0, 0)):
+        monkeypatch.setattr(neardup, "BROADCAST_IDS", most)
+        out = STAGES["minhash near-dedup"](spark, docs, None)
+        assert out._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == broadcasts
+        assert kept(out) == [(1, A), (5, B)]
+    assert [label for label, plan in planned if "BroadcastExchange" in plan] == []
